@@ -169,7 +169,8 @@ def stat_name(df: DataFrame, term: str, suffix: str, name: str) -> DataFrame:
 
 def percent_label(df: DataFrame, col: str, name: str = "label", digits: int = 1) -> DataFrame:
     """Number -> ``12.3%``."""
-    return df.withColumn(name, F.concat(F.format_string(f"%.{digits}f", F.round(F.col(col), digits)), F.lit("%")))
+    text = F.concat(F.format_string(f"%.{digits}f", F.round(F.col(col), digits)), F.lit("%"))
+    return df.withColumn(name, F.when(F.col(col).isNotNull(), text))
 
 
 # --- arithmetic -------------------------------------------------------------------------------

@@ -40,13 +40,13 @@ def fixed_bands(df: DataFrame, col: str, cuts: Sequence[float], name: str = "ban
     """
     limits = [float(c) for c in cuts]
     bounds = df.agg(F.min(col), F.max(col)).first()
-    least, most = (float(b) if b is not None else limits[i]) for i, b in zip((0, -1), bounds))
+    least, most = (limits[i] if b is None else float(b) for i, b in zip((0, -1), bounds))
     inner = limits if most > limits[-1] else limits[:-1]
     band = sum((F.when(F.col(col) >= c, 1).otherwise(0) for c in inner), F.lit(0))
     out = df.withColumn(name, F.when(F.col(col).isNotNull(), band))
     if label is None:
         return out
-    edges = [least, *limits] + ([most] if most > limits[-1] else [])
+    edges = [min(least, limits[0]), *limits] + ([most] if most > limits[-1] else [])
     shown = [f"{e:g}" if e == int(e) and abs(e) < 1e6 else repr(e) for e in edges]
     texts = [f"[{a},{b})" for a, b in zip(shown, shown[1:])]
     texts[-1] = texts[-1][:-1] + "]"
