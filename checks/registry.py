@@ -1,7 +1,7 @@
 """All checks by key."""
 
-from checks import cleaning, reshaping, sources
+from checks import cleaning, reshaping, sources, statistics
 from checks.framework import build
 
-CHECKS = [*sources.CHECKS, *cleaning.CHECKS, *reshaping.CHECKS]
+CHECKS = [*sources.CHECKS, *cleaning.CHECKS, *reshaping.CHECKS, *statistics.CHECKS]
 QUERIES, ORACLES = build(CHECKS)

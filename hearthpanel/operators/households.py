@@ -292,16 +292,20 @@ def adoption_update(df: DataFrame, cost: Value, tariff: Value, periods: int, sub
 # --- statistics -------------------------------------------------------------------------------
 
 
-def ownership_by_decile(df: DataFrame, income: str = "income", keys: Sequence[str] = ()) -> DataFrame:
-    """Members, owners and ownership share per income decile."""
-    grouped = position_groups(df, income, 10, keys, "decile")
-    return grouped.groupBy(*keys, "decile").agg(
+def ownership_shares(df: DataFrame, keys: Sequence[str] = (), group: str = "decile") -> DataFrame:
+    """Members, owners and ownership share per group."""
+    return df.groupBy(*keys, group).agg(
         F.count(F.lit(1)).alias("members"),
         F.sum("pv").alias("owners"),
         (F.sum("pv") / F.count(F.lit(1))).alias("share"),
     )
 
 
+def ownership_by_decile(df: DataFrame, income: str = "income", keys: Sequence[str] = ()) -> DataFrame:
+    """Members, owners and ownership share per income decile; an empty decile has no row."""
+    return ownership_shares(position_groups(df, income, 10, keys, "decile"), keys)
+
+
 def period_statistics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Means of income, liquidity, next expected price and debt, ownership among all and among the
     feasible, and the rationed share of those who could adopt."""

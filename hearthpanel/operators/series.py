@@ -121,7 +121,7 @@ def rls_fold(
     sums = aged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.max("_gain").alias(gain),
-        F.pow(1 - F.max("_gain"), F.count(F.lit(1))).alias("_left"),
+        F.pow(1 - F.max("_gain"), F.max("_last") - F.min(order) + 1).alias("_left"),
         weighted().alias("_s1"),
         weighted("x").alias("_sx"),
         weighted("x", "x").alias("_sxx"),
