@@ -81,10 +81,15 @@ def ratio_of_means(df: DataFrame, keys: Sequence[str], num: str, den: str, name:
 def two_level_mean_share(
     df: DataFrame, keys: Sequence[str], var: str = "var", value: str = "value", base: str = "income"
 ) -> DataFrame:
-    """Means per (keys, var), summed over the variables that share a mean ``base``, in percent of it."""
+    """Means per (keys, var), summed over the variables that share a mean ``base``, in percent of it.
+
+    Means are told apart to six decimals: the last bits of a mean depend on the order of addition.
+    """
     first = df.groupBy(*keys, var).agg(F.avg(value).alias(value), F.avg(base).alias(base))
-    second = first.groupBy(*keys, base).agg(F.sum(value).alias("total"))
-    return second.withColumn("share", F.when(F.col(base) != 0, F.col("total") / F.col(base) * 100))
+    second = first.groupBy(*keys, F.round(base, 6).alias("_base")).agg(
+        F.min(base).alias(base), F.sum(value).alias("total")
+    )
+    return second.drop("_base").withColumn("share", F.when(F.col(base) != 0, F.col("total") / F.col(base) * 100))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
