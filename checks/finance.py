@@ -9,7 +9,7 @@ from checks.framework import Check
 from checks.reshaping import POSITION
 from checks.views import (
     BASE_RATE, BETA, CAPACITY, FEASIBLE_PROB, GAIN, INFLUENCE, MARKUP, MAX_AGE, MAX_DTI, MAX_LTV, OBSERVED, OWN_USE,
-    PERSISTENCE, PRICE, PRICE_SCALE, SEED, START, cost, households, tariff, view,
+    PERSISTENCE, PRICE, PRICE_SCALE, SEED, START, cost, households, snapshot, tariff, view,
 )
 from hearthpanel.operators import households as h
 from hearthpanel.operators import series
@@ -57,14 +57,18 @@ def learned(s, d):
     return series.rls_fold(with_gain(s, d), ["series"], "t", "price", "gain", RLS_START, RLS_MATRIX)
 
 
+def coefficients(s, d):
+    """What was learned, as the snapshot the household steps read."""
+    return snapshot(s, d, "coefficients", lambda: learned(s, d).select("series", "last", "change", "n1", "n2"))
+
+
 def with_series(df):
     """Households looking at one of the 25 series each."""
     return df.withColumn("series", F.concat(F.lit("Brand#"), (F.col("hid") % 25 + 1).cast("string")))
 
 
 def with_path(s, d, states=None):
-    coefs = learned(s, d).select("series", "last", "change", "n1", "n2")
-    joined = with_series(view(s, d, "hs") if states is None else states).join(coefs, "series")
+    joined = with_series(view(s, d, "hs") if states is None else states).join(coefficients(s, d), "series")
     return series.expected_price_path(joined, MAX_AGE)
 
 
@@ -408,9 +412,8 @@ def propensity(s, d):
 
 
 def scoring(s, d):
-    coefs = learned(s, d).select("series", "last", "change", "n1", "n2")
     schedule = h.policy_schedule(scenarios(s, d), START, START)
-    return job_adoption_scoring(with_series(households(s, d)), coefs, view(s, d, "lk_year"), schedule, MARKET)
+    return job_adoption_scoring(with_series(households(s, d)), coefficients(s, d), view(s, d, "lk_year"), schedule, MARKET)
 
 
 _RULE = "list_transform(range(1, 10), lambda i: sorted[CAST(round_even(i * (n + 1) / 10.0 - 1, 0) AS BIGINT) + 1])"

@@ -9,10 +9,10 @@ from checks.cleaning import BANDS
 from checks.framework import Check
 from checks.reshaping import person_tables
 from checks.statistics import OLS, OLS_SUMS
-from checks.views import CONCEPTS, FAMILIES, codebook, view, wealth_codebook
+from checks.views import CONCEPTS, FAMILIES, codebook, snapshot, view, wealth_codebook
 from hearthpanel.operators import clean, regression
 from hearthpanel.plans import jobs
-from hearthpanel.workspace import materialize, new_path
+from hearthpanel.workspace import new_path
 
 REF_YEAR, SCORE_YEAR = 2011, 2010
 PERSON_BOOK = {"v_pid": "pid", "v_hid": "hid", "syear": "year", "v_inc": "income", "v_age": "age", "v_absent": "absent"}
@@ -50,7 +50,7 @@ def consumption(s, d):
 
 def complete_consumption(s, d):
     """Households with every concept, written as the snapshot later jobs read."""
-    return materialize(clean.drop_null_rows(consumption(s, d), ["total", "income"]), "consumption")
+    return snapshot(s, d, "consumption", lambda: clean.drop_null_rows(consumption(s, d), ["total", "income"]))
 
 
 def person_panel(s, d):
@@ -58,29 +58,32 @@ def person_panel(s, d):
 
 
 def panel_snapshot(s, d):
-    return materialize(person_panel(s, d), "panel")
+    return snapshot(s, d, "panel", lambda: person_panel(s, d))
 
 
 def wealth(s, d):
     return jobs.job_wealth(view(s, d, "ww"), wealth_codebook(s), view(s, d, "py"), COMPONENTS, [v[:4] for v in FAMILIES])
 
 
-def linear_estimates(s, d, panel_rows):
-    rows = materialize(jobs.regression_rows(view(s, d, "hw"), panel_rows), "rows")
-    return rows, jobs.wealth_estimates(regression.ols_coef_table(rows, [regression.ols_linear(rows, "GrossWealth", ["income", "age"])]))
+def regression_rows(s, d):
+    return snapshot(s, d, "rows", lambda: jobs.regression_rows(view(s, d, "hw"), panel_snapshot(s, d)))
+
+
+def linear_estimates(s, d):
+    rows = regression_rows(s, d)
+    return jobs.wealth_estimates(regression.ols_coef_table(rows, [regression.ols_linear(rows, "GrossWealth", ["income", "age"])]))
 
 
 def spells(s, d):
-    return materialize(jobs.household_spells(person_panel(s, d), REF_YEAR), "spells")
+    return snapshot(s, d, "spells", lambda: jobs.household_spells(panel_snapshot(s, d), REF_YEAR))
 
 
 def household_panel(s, d):
-    people = panel_snapshot(s, d)
-    return jobs.job_household_panel(people, view(s, d, "hw"), linear_estimates(s, d, people)[1], REF_YEAR)
+    return jobs.job_household_panel(panel_snapshot(s, d), view(s, d, "hw"), linear_estimates(s, d), REF_YEAR)
 
 
 def fitted(s, d):
-    rows = materialize(jobs.regression_rows(view(s, d, "hw"), panel_snapshot(s, d)), "rows")
+    rows = regression_rows(s, d)
     fits = [
         regression.ols_linear(rows, "GrossWealth", ["income", "age"]),
         regression.ols_fixed_effect(rows, "GrossWealth", ["income", "age"], "year"),
@@ -260,7 +263,7 @@ CHECKS = [
     ),
     Check(
         "job_estimate_table", "term:s est:r4 se:r4",
-        lambda s, d: jobs.job_estimate_table(linear_estimates(s, d, panel_snapshot(s, d))[1]), "SELECT * FROM est",
+        lambda s, d: jobs.job_estimate_table(linear_estimates(s, d)), "SELECT * FROM est",
     ),
     Check(
         "job_fitted_histogram", "var:s bin:i count:i",

@@ -6,10 +6,13 @@ Names in braces are other views or raw tables.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthpanel.workspace import materialize
+
 RAW = ["customer", "orders", "lineitem", "part"]
 
 _IMPUTED = [f"consum{k}{i}" for i in "bc" for k in range(1, 6)] + ["oheat_b", "oheat_c", "rheat_b", "rheat_c"]
@@ -202,13 +205,25 @@ def ctes(body: str) -> str:
     return ", ".join(parts)
 
 
+_snapshots: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def snapshot(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage written once per application; later stages read it whole, as in a survey pipeline
+    whose steps hand over files."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _snapshots:
+        _snapshots[key] = materialize(build(), name)
+    return _snapshots[key]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view (or a raw table) as a DataFrame."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
     inputs = {n: view(spark, sf_dir, n) for n in dict.fromkeys(_needs(text))}
-    return spark.sql(text, **inputs)
+    return snapshot(spark, sf_dir, name, lambda: spark.sql(text, **inputs))
 
 
 def codebook(spark: SparkSession) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,7 +45,36 @@ def price_path(last: Column, change: Column, intercept: Column, slope: Column, h
     return F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda s: s["path"])
 
 
-def discounted_sum(values: Column, discount: Column, term: Callable[[Column, Column], Column]) -> Column:
-    """Sum of term(value, t) / (1 + discount)^t over an array, t counted from 0."""
-    terms = F.transform(values, lambda v, t: term(v, t) / F.pow(1 + discount, t))
-    return F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
+def geometric_sum(ratio: Column, terms: int) -> Column:
+    """1 + q + ... + q^(terms-1), by its first-order expansion where q is all but 1."""
+    near = F.abs(ratio - 1) < 1e-7
+    return F.when(near, terms * (1 + (terms - 1) / 2 * (ratio - 1))).otherwise(
+        (F.pow(ratio, F.lit(terms)) - 1) / (ratio - 1)
+    )
+
+
+def discounted_interest(loan: Column, rate: Column, instalment: Column, discount: Column, periods: int) -> Column:
+    """Discounted interest of a loan's whole schedule.
+
+    The balance is (L - S/r)(1+r)^t + S/r, so the sum consists of two geometric ones.
+    """
+    growing = geometric_sum((1 + rate) / (1 + discount), periods)
+    return F.when(rate == 0, F.lit(0.0)).otherwise(
+        (rate * loan - instalment) * growing + instalment * geometric_sum(1 / (1 + discount), periods)
+    )
+
+
+def discounted_yield(
+    prices: Column, consumption: Column, trend: Column, discount: Column, tariff: Column, capacity: float, own_use: float
+) -> Column:
+    """Discounted panel yield over an array of prices, consumption growing by its trend."""
+    def step(state: Column, price: Column) -> Column:
+        worth = panel_yield(state["use"], tariff, price, capacity, own_use)
+        return F.struct(
+            (state["total"] + worth * state["weight"]).alias("total"),
+            (state["use"] * (1 + trend)).alias("use"),
+            (state["weight"] / (1 + discount)).alias("weight"),
+        )
+
+    start = F.struct(F.lit(0.0).alias("total"), consumption.cast("double").alias("use"), F.lit(1.0).alias("weight"))
+    return F.aggregate(prices, start, step, lambda state: state["total"])

@@ -158,8 +158,7 @@ def parse_interval_label(df: DataFrame, col: str, low: str = "LowAmt", high: str
 
 def split_stat_name(df: DataFrame, col: str, name: str = "term", stat: str = "stat") -> DataFrame:
     """``(Intercept)_est`` -> term ``Intercept`` and statistic ``est``."""
-    bare = F.regexp_replace(F.col(col), r"[()]", "")
-    return df.withColumns({name: F.regexp_replace(bare, "_.*", ""), stat: F.substring_index(bare, "_", -1)})
+    return df.withColumns({name: F.regexp_replace(F.col(col), r"[()]|_.*", ""), stat: F.substring_index(F.col(col), "_", -1)})
 
 
 def stat_name(df: DataFrame, term: str, suffix: str, name: str) -> DataFrame:

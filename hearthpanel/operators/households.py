@@ -13,7 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthpanel.functions import draws
-from hearthpanel.functions.finance import Value, annuity, balance_after, col, discounted_sum, panel_yield
+from hearthpanel.functions.finance import (
+    Value,
+    annuity,
+    balance_after,
+    col,
+    discounted_interest,
+    discounted_yield,
+    panel_yield,
+)
 from hearthpanel.operators.aggregates import positive_mean, share_or_zero
 from hearthpanel.operators.joins import percentile_lookup_join, year_lookup_earliest_fallback
 from hearthpanel.operators.ranking import position_groups
@@ -234,10 +242,10 @@ def amortisation_schedule(df: DataFrame, periods: int, ids: Sequence[str] = ("hi
 
 
 def discounted_loan_cost(df: DataFrame, periods: int) -> DataFrame:
-    """Discounted interest of the whole schedule, without exploding it."""
-    paid = F.sequence(F.lit(0), F.lit(periods - 1))
-    interest = lambda t, _: c("offerrate") * balance_after(c("loan"), c("offerrate"), c("instalment"), t)
-    return df.withColumn("loancost", discounted_sum(paid, c("discount"), interest))
+    """Discounted interest of the whole schedule, in closed form."""
+    return df.withColumn(
+        "loancost", discounted_interest(c("loan"), c("offerrate"), c("instalment"), c("discount"), periods)
+    )
 
 
 def expected_revenue(
@@ -245,8 +253,9 @@ def expected_revenue(
 ) -> DataFrame:
     """Discounted panel yield over the expected price path, consumption growing by its trend."""
     rate = col(tariff) + col(topup)
-    worth = lambda p, t: panel_yield(c("powercons") * F.pow(1 + c("trend"), t), rate, p, capacity, own_use)
-    return df.withColumn("revenue", discounted_sum(c(path), c("discount"), worth))
+    return df.withColumn(
+        "revenue", discounted_yield(c(path), c("powercons"), c("trend"), c("discount"), rate, capacity, own_use)
+    )
 
 
 def adoption_utility(df: DataFrame, cost: Value, beta: float, subsidy: Value = 0.0) -> DataFrame:

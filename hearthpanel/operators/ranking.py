@@ -14,28 +14,26 @@ is compared with those few limits, so wide rows are never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthpanel.operators.keyed import null_safe_join
+from hearthpanel.operators.keyed import attach, null_safe_join
 from hearthpanel.workspace import materialize
 
-_ALL = "_all_rows"
-
 
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    ranks: Callable[[Column], Column],
+    ranks: Column,
     unique: bool = False,
 ) -> DataFrame:
     """The rows at given ranks of each group: one row per key with ``n`` (rows of the group) and
     ``stats``, a map from rank to the struct of the order columns.
 
-    ``ranks`` maps the group size to an array of 1-based ranks. Rows with a null in an order
+    ``ranks`` is an array of 1-based ranks in terms of the group size, column ``n``. Rows with a null in an order
     column are left out. ``unique`` says that (keys, order) never repeats.
     """
     values = df.select(*keys, *order).dropna(subset=list(order))
@@ -53,23 +51,23 @@ def order_statistics(
     starts = (
         per_part.withColumn("_before", F.sum("_size").over(group.orderBy("_part")) - F.col("_size"))
         .withColumn("n", F.sum("_size").over(group))
-        .withColumn("_wanted", ranks(F.col("n")).cast("array<bigint>"))
-        .withColumn(
-            "_wanted",
-            F.filter(
-                F.array_distinct("_wanted"),
-                lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_size")),
-            ),
-        )
+        .withColumn("_wanted", F.array_distinct(ranks.cast("array<bigint>")))
+        .withColumn("_wanted", F.expr("filter(_wanted, r -> r > _before and r <= _before + _size)"))
         .filter(F.size("_wanted") > 0)
         .drop("_size")
     )
-    inside = null_safe_join(placed, materialize(starts, "starts"), [*keys, "_part"], "inner")
+    if keys:
+        inside = null_safe_join(placed, materialize(starts, "starts"), [*keys, "_part"], "inner")
+    else:
+        # At most one row per wanted rank; the filter also skips the files of other partitions.
+        found = starts.collect()
+        local = df.sparkSession.createDataFrame(found, starts.schema)
+        inside = placed.filter(F.col("_part").isin([r["_part"] for r in found])).join(F.broadcast(local), "_part")
 
     last = F.col("_before") + F.sum("_count").over(Window.partitionBy(*keys, "_part").orderBy(*order))
     hits = (
         inside.withColumn("_last", last)
-        .withColumn("_wanted", F.filter("_wanted", lambda r: (r > F.col("_last") - F.col("_count")) & (r <= F.col("_last"))))
+        .withColumn("_wanted", F.expr("filter(_wanted, r -> r > _last - _count and r <= _last)"))
         .select(*keys, "n", F.explode("_wanted").alias("_rank"), F.struct(*order).alias("_row"))
     )
     # At most one entry per wanted rank.
@@ -78,45 +76,43 @@ def order_statistics(
     )
 
 
-def _grouped(
-    df: DataFrame, keys: Sequence[str], stats: Callable[[DataFrame, Sequence[str]], DataFrame]
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """``df`` and its group table, under a constant key when there is no key."""
+def _with_group_array(df: DataFrame, table: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the array column ``name`` of the group table: joined by key, or, when the whole
+    table is one group, as a constant."""
     if keys:
-        return df, materialize(stats(df, keys), "groups"), list(keys)
-    whole = df.withColumn(_ALL, F.lit(1))
-    # A single row: safe to broadcast whatever the threshold.
-    return whole, F.broadcast(materialize(stats(whole, [_ALL]), "groups")), [_ALL]
+        return attach(df, table.select(*keys, name), keys)
+    kind = dict(table.dtypes)[name]
+    row = table.select(name).first()
+    values = None if row is None else row[0]
+    return df.withColumn(name, F.lit(None).cast(kind) if values is None else _constant(values, kind))
 
 
-def quantile_table(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per key, array ``quantiles``."""
-    points = F.array(*[F.lit(float(p)) for p in probs])
+def _constant(values: list, kind: str) -> Column:
+    items = [F.struct(*[F.lit(v) for v in x]) if isinstance(x, tuple) else F.lit(x) for x in values]
+    return F.array(*items).cast(kind)
 
-    def ranks(n: Column) -> Column:
-        place = F.transform(points, lambda p: F.floor(p * (n - 1)) + 1)
-        return F.concat(place, F.transform(place, lambda r: F.least(r + 1, n)))
 
-    def interpolate(p: Column) -> Column:
-        place = p * (F.col("n") - 1)
-        low = F.floor(place)
-        at = lambda rank: F.element_at("stats", rank)[col]
-        low_value = at(low + 1).cast("double")
-        high_value = at(F.least(low + 2, F.col("n"))).cast("double")
-        return low_value + (high_value - low_value) * (place - low)
+def quantile_table(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation: one row per key, array ``quantiles``."""
+    points = f"array({', '.join(f'{float(p)!r}D' for p in probs)})"
 
+    # The two ranks around place p(n - 1), counted from 0.
+    ranks = F.expr(
+        f"concat(transform({points}, p -> floor(p * (n - 1)) + 1), transform({points}, p -> least(floor(p * (n - 1)) + 2, n)))"
+    )
     found = order_statistics(df, keys, [col], ranks)
-    return found.select(*keys, "n", F.transform(points, interpolate).alias("quantiles"))
+    at = "cast(stats[least(floor(p * (n - 1)) + {}, n)].`" + col + "` as double)"
+    low, high = at.format(1), at.format(2)
+    interpolated = f"transform({points}, p -> {low} + ({high} - {low}) * (p * (n - 1) - floor(p * (n - 1))))"
+    return found.select(*keys, "n", F.expr(interpolated).alias("quantiles"))
 
 
 def with_quantiles(
     df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], name: str = "_quantiles"
 ) -> DataFrame:
     """``df`` with the quantile array of each row's group."""
-    whole, table, on = _grouped(
-        df, keys, lambda d, k: quantile_table(d, k, col, probs).select(*k, F.col("quantiles").alias(name))
-    )
-    return null_safe_join(whole, table, on).drop(_ALL)
+    table = quantile_table(df, keys, col, probs).withColumnRenamed("quantiles", name)
+    return _with_group_array(df, table, keys, name)
 
 
 def ntile_groups(
@@ -127,26 +123,15 @@ def ntile_groups(
     ``tiebreak`` must make the rows of a group unique.
     """
     order = [col, *tiebreak]
+
     # First rank of every bucket but the first; the first (size mod n) buckets hold one row more.
-    def ranks(size: Column) -> Column:
-        return F.array(
-            *[F.floor(size / n) * i + F.least(F.lit(i), size % n) + 1 for i in range(1, n)]
-        )
-
-    def limits(d: DataFrame, k: Sequence[str]) -> DataFrame:
-        return order_statistics(d, k, order, ranks, unique=True).select(*k, F.map_values("stats").alias("_limits"))
-
-    whole, table, on = _grouped(df, keys, limits)
-    bucket = F.coalesce(
-        F.size(F.filter("_limits", lambda limit: limit <= F.struct(*order))), F.lit(0)
-    ) + 1
-    # A group smaller than two rows has no limit at all.
-    bucket = F.when(F.col("_limits").isNull(), 1).otherwise(bucket)
-    return (
-        null_safe_join(whole, table, on)
-        .withColumn(name, F.when(F.col(col).isNotNull(), bucket))
-        .drop("_limits", _ALL)
-    )
+    ranks = F.expr(f"transform(sequence(1, {n - 1}), i -> (n - n % {n}) div {n} * i + least(i, n % {n}) + 1)")
+    table = order_statistics(df, keys, order, ranks, unique=True).withColumn("_limits", F.map_values("stats"))
+    limited = _with_group_array(df, table, keys, "_limits")
+    # A group of one row has no limit at all.
+    passed = F.size(F.filter("_limits", lambda limit: limit <= F.struct(*order)))
+    bucket = F.when(F.col("_limits").isNull(), 0).otherwise(passed) + 1
+    return limited.withColumn(name, F.when(F.col(col).isNotNull(), bucket)).drop("_limits")
 
 
 def quantile_groups(df: DataFrame, col: str, n: int, name: str = "group") -> DataFrame:
@@ -164,21 +149,13 @@ def position_groups(
     A value equal to a limit falls below it; halves round to even. A group needs at least
     n - 1 rows for its places to exist.
     """
-    def ranks(size: Column) -> Column:
-        return F.array(*[F.rint(F.lit(float(i)) * (size + 1) / n - 1) + 1 for i in range(1, n)])
-
-    def limits(d: DataFrame, k: Sequence[str]) -> DataFrame:
-        found = order_statistics(d, k, [col], ranks)
-        places = F.transform(ranks(F.col("n")), lambda r: F.element_at("stats", r.cast("bigint"))[col])
-        return found.select(*k, places.alias("_limits"))
-
-    whole, table, on = _grouped(df, keys, limits)
-    below = F.size(F.filter("_limits", lambda limit: limit < F.col(col)))
-    return (
-        null_safe_join(whole, table, on)
-        .withColumn(name, F.when(F.col(col).isNotNull(), below))
-        .drop("_limits", _ALL)
+    places = f"transform(sequence(1, {n - 1}), i -> cast(rint(i * (n + 1) / {n} - 1) as bigint) + 1)"
+    table = order_statistics(df, keys, [col], F.expr(places)).withColumn(
+        "_limits", F.expr(f"transform({places}, r -> stats[r].`{col}`)")
     )
+    limited = _with_group_array(df, table, keys, "_limits")
+    below = F.size(F.filter("_limits", lambda limit: limit < F.col(col)))
+    return limited.withColumn(name, F.when(F.col(col).isNotNull(), below)).drop("_limits")
 
 
 def dense_ranks(df: DataFrame, order: str, desc: bool = False, name: str = "position") -> DataFrame:

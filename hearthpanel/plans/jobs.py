@@ -11,6 +11,7 @@ from hearthpanel.operators import aggregates, clean, joins, panel, regression, r
 from hearthpanel.operators.keyed import attach, group_stats
 from hearthpanel.operators.regression import Fit
 from hearthpanel.sources.files import codebook_select_rename, scan_union_waves
+from hearthpanel.workspace import materialize
 
 SPELL = ["pid", "hid", "YearMoved"]
 HOME = ["hid", "YearMoved"]
@@ -156,7 +157,7 @@ def regression_rows(wealth: DataFrame, panel_rows: DataFrame, trim: float = 0.99
 
 def job_wealth_regression(wealth: DataFrame, panel_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Coefficient table of five specifications, and the rows with their fitted values."""
-    rows = regression_rows(wealth, panel_rows)
+    rows = materialize(regression_rows(wealth, panel_rows), "rows")
     fits = wealth_fits(rows)
     return regression.ols_coef_table(rows, fits), regression.ols_fitted(rows, fits)
 
