@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthpanel.operators.clean import log_column
-from hearthpanel.operators.keyed import attach, group_stats
+from hearthpanel.operators.keyed import attach, first_known, group_stats
 from hearthpanel.operators.ranking import with_quantiles
 
 
@@ -20,6 +22,22 @@ def mean_over_imputations(df: DataFrame, keys: Sequence[str], value: str = "valu
     return df.groupBy(*keys).agg(mean.alias(value))
 
 
+def mean_over_imputation_columns(
+    df: DataFrame, keys: Sequence[str], variables: Mapping[str, Sequence[str]], skip_null: bool = True
+) -> DataFrame:
+    """As ``mean_over_imputations`` for a wide table: variable -> its imputation columns.
+
+    The columns of a row are added up in place, so nothing is melted and one grouping suffices.
+    """
+    def mean(cols: Sequence[str]) -> Column:
+        known = reduce(add, [F.count(c) for c in cols])
+        total = reduce(add, [F.coalesce(F.sum(c), F.lit(0.0)) for c in cols])
+        wanted = known > 0 if skip_null else known == len(cols) * F.count(F.lit(1))
+        return F.when(wanted, total / known)
+
+    return df.groupBy(*keys).agg(*[mean(cols).alias(name) for name, cols in variables.items()])
+
+
 def household_rollup(
     df: DataFrame,
     keys: Sequence[str],
@@ -141,8 +159,7 @@ def first_non_null(
     df: DataFrame, keys: Sequence[str], col: str, order: Sequence[str], name: str | None = None
 ) -> DataFrame:
     """First non-missing value of each group in the given order, on all its rows."""
-    place = F.when(F.col(col).isNotNull(), F.struct(*order))
-    return group_stats(df, keys, **{name or col: F.min_by(F.col(col), place)})
+    return group_stats(df, keys, **{name or col: first_known(col, order)})
 
 
 def distinct_values_rows(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
@@ -159,8 +176,9 @@ def log_density_by_group(df: DataFrame, col: str, keys: Sequence[str], width: fl
     logs = log_column(df, col, "_log").filter(F.col("_log").isNotNull())
     bins = logs.withColumn("bin", F.floor(F.col("_log") / width + 0.5).cast("long"))
     counts = bins.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
-    totals = group_stats(counts, keys, _total=F.sum("count"))
-    return totals.withColumn("density", F.col("count") / F.col("_total") / width).drop("_total")
+    # One row per bin here, a few thousand at most per group.
+    total = F.sum("count").over(Window.partitionBy(*keys))
+    return counts.withColumn("density", F.col("count") / total / width)
 
 
 def positive_mean(col: str | Column) -> Column:

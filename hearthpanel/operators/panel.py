@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthpanel.operators.keyed import attach, group_stats
+from hearthpanel.operators.keyed import group_stats
 from hearthpanel.operators.ranking import (
     dense_ranks,
     ntile_groups,
@@ -83,10 +83,8 @@ def share_of_group(
 
 def balanced_panel(df: DataFrame, key: str, lo: int, hi: int, rows: int | None = None, year: str = "year") -> DataFrame:
     """Units with exactly ``rows`` rows (default: one per year) between two years."""
-    window = df.filter(F.col(year).between(lo, hi))
-    counts = window.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    complete = counts.filter(F.col("_rows") == (rows or hi - lo + 1)).select(key)
-    return attach(window, complete, [key], "left_semi")
+    counted = group_stats(df.filter(F.col(year).between(lo, hi)), [key], _rows=F.count(F.lit(1)))
+    return counted.filter(F.col("_rows") == (rows or hi - lo + 1)).drop("_rows")
 
 
 def group_mean_impute(df: DataFrame, keys: Sequence[str], col: str, digits: int = 0) -> DataFrame:

@@ -80,7 +80,7 @@ def _with_group_array(df: DataFrame, table: DataFrame, keys: Sequence[str], name
     """``df`` with the array column ``name`` of the group table: joined by key, or, when the whole
     table is one group, as a constant."""
     if keys:
-        return attach(df, table.select(*keys, name), keys)
+        return attach(df, table.select(*keys, name, F.col("n").alias("_group_rows")), keys, "_group_rows").drop("_group_rows")
     kind = dict(table.dtypes)[name]
     row = table.select(name).first()
     values = None if row is None else row[0]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthpanel.operators import aggregates, clean, joins, panel, regression, reshape
-from hearthpanel.operators.keyed import attach, group_stats
+from hearthpanel.operators.keyed import attach, first_known, group_stats
 from hearthpanel.operators.regression import Fit
 from hearthpanel.sources.files import codebook_select_rename, scan_union_waves
 from hearthpanel.workspace import materialize
@@ -33,25 +36,53 @@ def job_household_file(spark: SparkSession, pattern: str, codebook: Mapping[str,
     return survey_file(spark, pattern, codebook, from_year)
 
 
+def _code(column: str, stem: str = "consum") -> str:
+    """Questionnaire code of a consumption column, as ``clean.concept_code`` gives it for rows."""
+    return re.sub(f"b|{stem}|c|d|e", "", column) if stem in column else re.sub("_.*", "", column)
+
+
 def job_consumption(
     wide: DataFrame, codebook: DataFrame, panel_rows: DataFrame, concepts: Sequence[str], year: int = 2010
 ) -> DataFrame:
     """Household x concept consumption per year in thousands, with its total.
 
-    ``codebook`` has code and concept; ``panel_rows`` has hid, year, income and owner.
+    ``codebook`` has code and concept; ``panel_rows`` has hid, year, income and owner. Both sides
+    are brought to one row per household before they meet; the columns of a concept are averaged
+    in place instead of being melted, grouped and spread again.
     """
     kept = clean.select_name_contains(wide, ["f", "_a", *[f"{i}a" for i in range(1, 18)]], negate=True)
-    long = joins.codebook_join(
-        clean.concept_code(reshape.wide_to_long(kept, ["hid"])), codebook.select("code", "concept"), "code"
+    book = {r["code"]: r["concept"] for r in codebook.select("code", "concept").distinct().collect()}
+    status = aggregates.max_all_columns(clean.filter_year_range(panel_rows, year, year).select("hid", "income", "owner"), ["hid"])
+
+    columns = [c for c in kept.columns if c != "hid" and _code(c) in book]
+    monthly = kept.withColumns({c: F.col(c) / 12 for c in columns if re.search("oheat|oelectr|outil", c)})
+    totals = monthly.groupBy("hid").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(c).alias(f"_sum_{c}") for c in columns],
+        *[F.count(c).alias(f"_known_{c}") for c in columns],
     )
-    monthly = clean.scale_units(long, "value", 1 / 12, "var", "oheat|oelectr|outil")
-    status = clean.filter_year_range(panel_rows, year, year).select("hid", "income", "owner")
-    joined = joins.natural_left_join(monthly, aggregates.max_all_columns(status, ["hid"]), ["hid"])
-    rows = clean.owner_renter_rows(joined)
-    ids = ["hid", "income", "owner"]
-    means = aggregates.mean_over_imputations(rows, [*ids, "concept"], skip_null=False)
-    yearly = clean.scale_units(means, "value", 12 / 1000)
-    return clean.row_total(reshape.long_to_wide(yearly, ids, "concept", "value", concepts), ids)
+    joined = joins.natural_left_join(totals, status, ["hid"])
+    owns = F.coalesce(F.col("owner") == 1, F.lit(False))
+
+    def used(column: str, prefix: str) -> Column:
+        """0 where the household was not asked for this variable in its role."""
+        value = F.coalesce(F.col(f"{prefix}{column}"), F.lit(0))
+        if re.search("rheat|reletr", column):
+            return F.when(owns, 0).otherwise(value)
+        if re.search("oheat|oeletr", column):
+            return F.when(owns, value).otherwise(0)
+        return value
+
+    def yearly(concept: str) -> Column:
+        mine = [c for c in columns if book[_code(c)] == concept]
+        known = reduce(add, [used(c, "_known_") for c in mine])
+        asked = reduce(add, [used(c, "_asked_") for c in mine])
+        total = reduce(add, [used(c, "_sum_") for c in mine])
+        return F.when(known == asked, total / known * 12 / 1000)
+
+    joined = joined.withColumns({f"_asked_{c}": F.col("_rows") for c in columns})
+    out = joined.select("hid", "income", "owner", *[yearly(c).alias(c) for c in concepts])
+    return clean.row_total(out, ["hid", "income", "owner"])
 
 
 def job_wealth(
@@ -60,15 +91,25 @@ def job_wealth(
 ) -> DataFrame:
     """Household-year wealth components, averaged over the imputations.
 
-    One melt and one filter on the family prefix serve all families.
+    A column belongs to a family by its first four characters and is used once. ``codebook`` maps
+    the five-character variable to its component. One grouping serves all families.
     """
-    long = reshape.wide_to_long(wide.withColumnRenamed("syear", "year"), ["hid", "year"])
-    known = long.filter(F.substring("var", 1, 4).isin(*families))
-    parts = clean.split_imputation(clean.code_to_null(known, "value", -8.0))
-    means = aggregates.mean_over_imputations(parts, ["hid", "year", "var"])
-    named = joins.codebook_join(means, codebook, "var").drop("var").withColumnRenamed("VarText", "var")
-    sums = aggregates.sum_null_as_zero(named, ["hid", "year", "var"])
-    spread = reshape.long_to_wide(sums, ["hid", "year"], "var", "value", components)
+    book = {r["var"]: r["VarText"] for r in codebook.select("var", "VarText").distinct().collect()}
+    variables: dict[str, list[str]] = {}
+    for c in wide.columns:
+        if c[:4] in families and c[:5] in book:
+            variables.setdefault(c[:5], []).append(c)
+    columns = [c for cols in variables.values() for c in cols]
+    known = wide.select(
+        "hid", F.col("syear").alias("year"), *[F.nullif(F.col(c).cast("double"), F.lit(-8.0)).alias(c) for c in columns]
+    )
+    means = aggregates.mean_over_imputation_columns(known, ["hid", "year"], variables)
+
+    def component(name: str) -> Column:
+        mine = [v for v in variables if book[v] == name]
+        return reduce(add, [F.coalesce(F.col(v), F.lit(0.0)) for v in mine]) if mine else F.lit(None).cast("double")
+
+    spread = means.select("hid", "year", *[component(c).alias(c) for c in components])
     status = clean.filter_year_in(panel_rows, years).select("hid", "income", "age")
     joined = joins.natural_left_join(spread, aggregates.max_all_columns(status, ["hid"]), ["hid"])
     return joined.select("hid", "year", "income", "age", *components)
@@ -77,10 +118,6 @@ def job_wealth(
 # --- person panel -----------------------------------------------------------------------------
 
 
-def _first_known(col: str, order: Sequence[str]) -> Column:
-    return F.min_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(*order)))
-
-
 def harmonise(rows: DataFrame) -> DataFrame:
     """Clean a joined person-year table and turn purchases into ownership by dwelling spell.
 
@@ -100,8 +137,8 @@ def harmonise(rows: DataFrame) -> DataFrame:
     df = group_stats(
         df,
         SPELL,
-        owner=_first_known("owner", ["year"]),
-        lodge=_first_known("lodge", ["year"]),
+        owner=first_known("owner", ["year"]),
+        lodge=first_known("lodge", ["year"]),
         PanelYear=F.min(F.when(F.col("pv") == 1, F.col("year"))),
         pv=F.max("pv"),
     )
@@ -193,17 +230,20 @@ def job_fitted_histogram(
 
 def household_spells(panel_rows: DataFrame, ref_year: int) -> DataFrame:
     """Harmonised persons -> one row per household, dwelling spell and year."""
-    known = F.when(F.col("lodge").isNotNull(), F.col("pid"))
     rolled = panel_rows.groupBy("year", *HOME).agg(
         F.avg("income").alias("income"),
         F.max("age").alias("age"),
-        F.min_by("lodge", known).alias("HouseType"),
+        first_known("lodge", ["pid"]).alias("HouseType"),
         F.avg("PowerCosts").alias("PowerCosts"),
         F.max("pv").alias("pv"),
         F.min("PanelYear").alias("PanelYear"),
         F.avg("GrossIncome").alias("GrossIncome"),
     )
-    spells = group_stats(rolled, HOME, HouseType=_first_known("HouseType", ["year"]), _power=F.avg("PowerCosts"))
+    # Rolled up there is one row per survey year, so a window sees no more rows than years.
+    by_year = Window.partitionBy(*HOME).orderBy("year").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spells = rolled.withColumns(
+        {"HouseType": F.first("HouseType", ignorenulls=True).over(by_year), "_power": F.avg("PowerCosts").over(by_year)}
+    )
     complete = clean.drop_null_rows(spells, ["HouseType", "_power"])
     filled = complete.withColumn("PowerCosts", F.coalesce("PowerCosts", F.bround("_power", 0)) * 12).drop("_power")
     # One row per household, year and spell here, so age and flag need no further grouping.
@@ -247,7 +287,9 @@ def job_adoption_rate(spells: DataFrame) -> DataFrame:
     rows = spells.select("year", "hid", "YearMoved", "pv", "income")
     grouped = panel.ntile_by_year(rows, "income", 10, ["hid", "YearMoved"], name="IncomeGroup")
     rates = aggregates.rate_by_group(clean.drop_null_rows(grouped, ["IncomeGroup"]), ["year", "IncomeGroup"], "pv")
-    return group_stats(rates, ["year"], year_obs=F.sum("obs"), year_prob=F.avg("prob"))
+    # Ten rows per year.
+    year = Window.partitionBy("year")
+    return rates.withColumns({"year_obs": F.sum("obs").over(year), "year_prob": F.avg("prob").over(year)})
 
 
 def job_adoption_rate_balanced(spells: DataFrame, lo: int, hi: int) -> DataFrame:
