@@ -50,7 +50,8 @@ def fixed_bands(df: DataFrame, col: str, cuts: Sequence[float], name: str = "ban
     shown = [f"{e:g}" if e == int(e) and abs(e) < 1e6 else repr(e) for e in edges]
     texts = [f"[{a},{b})" for a, b in zip(shown, shown[1:])]
     texts[-1] = texts[-1][:-1] + "]"
-    return out.withColumn(label, F.element_at(F.array(*[F.lit(t) for t in texts]), F.col(name) + 1))
+    shown = F.element_at(F.array(*[F.lit(t) for t in texts]), F.col(name) + 1)
+    return out.withColumn(label, F.when(F.col(name).isNotNull(), shown))
 
 
 def cumulative_flag(

@@ -125,7 +125,8 @@ def ntile_groups(
     order = [col, *tiebreak]
 
     # First rank of every bucket but the first; the first (size mod n) buckets hold one row more.
-    ranks = F.expr(f"transform(sequence(1, {n - 1}), i -> (n - n % {n}) div {n} * i + least(i, n % {n}) + 1)")
+    # The last entry lies past the end of the group and is never found.
+    ranks = F.expr(f"transform(sequence(1, {n}), i -> (n - n % {n}) div {n} * i + least(i, n % {n}) + 1)")
     table = order_statistics(df, keys, order, ranks, unique=True).withColumn("_limits", F.map_values("stats"))
     limited = _with_group_array(df, table, keys, "_limits")
     # A group of one row has no limit at all.
@@ -149,6 +150,8 @@ def position_groups(
     A value equal to a limit falls below it; halves round to even. A group needs at least
     n - 1 rows for its places to exist.
     """
+    if n < 2:
+        raise ValueError("at least two groups")
     places = f"transform(sequence(1, {n - 1}), i -> cast(rint(i * (n + 1) / {n} - 1) as bigint) + 1)"
     table = order_statistics(df, keys, [col], F.expr(places)).withColumn(
         "_limits", F.expr(f"transform({places}, r -> stats[r].`{col}`)")

@@ -20,7 +20,7 @@ def work_folder(spark: SparkSession) -> str:
     """The folder of this application below the configured checkpoint folder."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
