@@ -37,8 +37,18 @@ def sql_ntile(values, n):
     return out
 
 
-@pytest.mark.parametrize("partitions", ["1", "7", "200"])
-def test_ntile(spark, frame, data, partitions):
+@pytest.fixture(params=["window", "cells", "ranges"])
+def regime(request, monkeypatch):
+    """All three ways of finding ranks, which the number of rows and groups decides between."""
+    if request.param != "window":
+        monkeypatch.setattr(ranking, "SMALL_ROWS", 0)
+    if request.param == "ranges":
+        monkeypatch.setattr(ranking, "MANY_GROUPS", 2)
+    return request.param
+
+
+@pytest.mark.parametrize("partitions", ["1", "30"])
+def test_ntile(spark, frame, data, partitions, regime):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
@@ -54,7 +64,7 @@ def test_ntile(spark, frame, data, partitions):
     assert got == {i: (whole.get(i), per.get(i)) for i, _, _ in data}
 
 
-def test_ntile_of_small_groups(spark, rows):
+def test_ntile_of_small_groups(spark, rows, regime):
     df = spark.createDataFrame([("x", 1, 5.0), ("y", 2, 1.0), ("y", 3, 2.0), ("z", 4, None)], "g string, id int, v double")
     assert rows(ranking.ntile_groups(df, "v", 4, ["id"], ["g"]), "id", "group") == [(1, 1), (2, 1), (3, 2), (4, None)]
     assert rows(ranking.ntile_groups(df.filter("id = 4"), "v", 4, ["id"]), "id", "group") == [(4, None)]
@@ -67,7 +77,7 @@ def test_group_sizes_differ_by_one(frame):
 
 
 @pytest.mark.parametrize("keys", [[], ["g"]])
-def test_quantiles(frame, data, keys):
+def test_quantiles(frame, data, keys, regime):
     probs = [0.0, 0.025, 0.1, 0.5, 0.975, 1.0]
     for r in ranking.quantile_table(frame, keys, "v", probs).collect():
         mine = [v for _, g, v in data if v is not None and (not keys or g == r["g"])]
@@ -82,8 +92,8 @@ def test_quantile_groups_keep_ties_together(frame, data):
         assert r["group"] == (None if r["v"] is None else 1 + int(sum(c <= r["v"] for c in cuts)))
 
 
-@pytest.mark.parametrize("n", [10, 100])
-def test_position_groups(frame, data, n):
+@pytest.mark.parametrize("n", [2, 40])
+def test_position_groups(frame, data, n, regime):
     known = np.sort([v for _, _, v in data if v is not None])
     places = np.round(np.arange(1, n) * (len(known) + 1) / n - 1).astype(int)
     for r in ranking.position_groups(frame, "v", n).collect():
