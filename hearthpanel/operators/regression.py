@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthpanel.operators.keyed import attach
+from hearthpanel.operators.keyed import attach, group_stats
 from hearthpanel.operators.reshape import stack_with_id
 
 INTERCEPT = "(Intercept)"
@@ -154,7 +154,7 @@ def ols_two_way_fe(
         *[(F.col(fe1) == level).cast("double").alias(c) for c, level in marks.items()],
     )
     means = data.groupBy(fe2).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(_term(c)).alias(f"_mean_{i}") for i, c in enumerate(cols)])
-    joined = attach(data, means, [fe2])
+    joined = attach(data, means, [fe2], "_n")
     within = joined.select(
         F.lit(1.0) / F.col("_n"), *[(_term(c) - F.col(f"_mean_{i}")).alias(f"_{i}") for i, c in enumerate(cols)]
     ).toDF("_share", *[f"_{i}" for i in range(len(cols))])
@@ -205,8 +205,8 @@ def ols_fitted(df: DataFrame, fits: Sequence[Fit], prefix: str = "Model") -> Dat
         out = out.withColumn(name, linear)
         if fit.fe:
             group = fit.fe[-1]
-            gap = F.avg(F.col(fit.y) - F.col(name)).alias("_effect")
-            out = attach(out, out.filter(F.col(name).isNotNull()).groupBy(group).agg(gap), [group])
+            gap = F.when(F.col(name).isNotNull(), F.col(fit.y) - F.col(name))
+            out = group_stats(out, [group], _effect=F.avg(gap))
             out = out.withColumn(name, F.col(name) + F.col("_effect")).drop("_effect")
     return out
 

@@ -113,8 +113,8 @@ def rls_fold(
         raise ValueError("the starting matrix must be positive definite")
     rows = differences(df.select(*keys, order, value, gain), keys, order, value)
     rows = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    gains = df.groupBy(*keys).agg(F.max(gain).alias("_gain"), F.max(order).alias("_last"))
-    aged = attach(rows, gains, keys).withColumn(
+    gains = df.groupBy(*keys).agg(F.max(gain).alias("_gain"), F.max(order).alias("_last"), F.count(F.lit(1)).alias("_obs"))
+    aged = attach(rows, gains, keys, "_obs").withColumn(
         "_w", F.col("_gain") * F.pow(1 - F.col("_gain"), F.col("_last") - F.col(order))
     )
     weighted = lambda *parts: F.sum(_product("_w", *parts))
