@@ -1,17 +1,11 @@
 """Exact order statistics, quantiles and rank groups without moving a group to one task.
 
-Only the ordered columns are looked at, and of them only the neighbourhood of the wanted ranks:
-
-1. a sketch gives cell limits close around each wanted rank, and one pass counts the rows per
-   cell, which tells exactly which cell holds which rank, however good the sketch was (with very
-   many groups this step is left out);
-2. the rows of those cells, a small part of all, are range-partitioned by (key, cell, value); the
-   rank at which a partition starts follows from the counts of the partitions before it;
-3. only partitions that hold a wanted rank are sorted.
+Only the ordered columns are looked at. They are range-partitioned by (key, value), whatever their type
+and the number of groups; the rank at which a partition starts follows from the counts of the partitions
+before it, and only partitions that hold a wanted rank are sorted.
 
 Equal values are counted together before they are shuffled, or told apart by a tiebreak, so a
-value held by a third of all rows does no harm. Few rows in all (a checked count) take a plain
-window instead.
+value held by a third of all rows does no harm.
 
 Rank groups need no rank per row: each row is compared with the few limits of its group, so wide
 rows are never shuffled for them.
@@ -27,111 +21,30 @@ from pyspark.sql import functions as F
 from hearthpanel.operators.keyed import attach, null_safe_join
 from hearthpanel.workspace import materialize
 
-# Up to this many rows in all, one task may sort a group.
-SMALL_ROWS = 1_000_000
-# Beyond this many groups a sketch per group does not pay.
-MANY_GROUPS = 10_000
-# Half the width of a cell, as a share of the group, and the accuracy of the sketch.
-CELL, ACCURACY = 0.001, 5000
-
 
 def order_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    ranks: Column,
-    fractions: Sequence[float],
-    unique: bool = False,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ranks: Column, unique: bool = False
 ) -> DataFrame:
     """The rows at given ranks of each group: one row per key with ``n`` (rows of the group) and
     ``stats``, a map from rank to the struct of the order columns.
 
-    ``ranks`` is an array of 1-based ranks in terms of the group size, column ``n``, and
-    ``fractions`` says roughly where in the group they lie. Rows with a null in an order column
-    are left out. ``unique`` says that (keys, order) never repeats.
+    ``ranks`` is an array of 1-based ranks in terms of the group size, column ``n``. Rows with a null
+    in the first order column are left out; a null further on comes before all values. ``unique``
+    says that (keys, order) never repeats.
     """
-    values = materialize(df.select(*keys, *order).dropna(subset=list(order)), "values")
-    total = values.count()
+    groups = list(keys) or ["_all"]
+    values = df.select(*keys, *order).dropna(subset=[order[0]])
+    if not keys:
+        values = values.withColumn("_all", F.lit(0))
+    values = materialize(values, "values")
+    sizes = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     wanted = F.array_distinct(ranks.cast("array<bigint>")).alias("_wanted")
-    if total <= SMALL_ROWS:
-        hits = _by_window(values, keys, order, wanted)
-    else:
-        sizes = materialize(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "sizes")
-        sought = sizes.select(*keys, "n", wanted)
-        if sizes.count() > MANY_GROUPS:
-            hits = _by_ranges(values, keys, order, unique, sought)
-        else:
-            hits = _by_cells(values, keys, order, unique, sought, _around(fractions))
+    hits = _by_ranges(values, groups, order, unique, sizes.select(*groups, "n", wanted))
     # At most one entry per wanted rank.
-    return hits.groupBy(*keys).agg(
+    found = hits.groupBy(*groups).agg(
         F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_rank", "_row"))).alias("stats")
     )
-
-
-def _around(fractions: Sequence[float]) -> list[float]:
-    """Fractions close below and above the given ones, closer the more there are."""
-    d = max(1 / ACCURACY, min(CELL, CELL * 10 / len(fractions)))
-    return sorted({min(max(f + side, 0.0), 1.0) for f in fractions for side in (-d, d)})
-
-
-def _by_window(values: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: Column) -> DataFrame:
-    """Rows (keys, n, _rank, _row) of a table small enough for a window."""
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    sought = sizes.select(*keys, "n", F.explode(wanted).alias("_rank"))
-    placed = values.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    return null_safe_join(placed, sought, [*keys, "_rank"], "inner").select(*keys, "n", "_rank", F.struct(*order).alias("_row"))
-
-
-def _cell(values: DataFrame, keys: Sequence[str], col: str, around: Sequence[float]) -> DataFrame:
-    """``values`` with the number ``_cell`` of the cell between the sketched quantiles.
-
-    A value on a limit may be a frequent one and has a cell of its own, unless the sketch of the
-    whole table shows that it is not.
-    """
-    sketch = values.groupBy(*keys).agg(F.percentile_approx(col, list(around), ACCURACY).alias("_splits"))
-    v = F.col(col)
-    if keys:
-        # At most MANY_GROUPS rows.
-        split = null_safe_join(values, F.broadcast(sketch), keys)
-
-        def test(i: int) -> Column:
-            limit = F.get("_splits", i // 2)
-            return v > limit if i % 2 else v >= limit
-
-        return split.withColumn("_cell", passed(2 * len(around), test)).drop("_splits")
-    splits = sketch.first()[0]
-    kind = dict(values.dtypes)[col]
-    tests = []
-    for s in sorted(set(splits)):
-        limit = F.lit(s).cast(kind)
-        tests.append(v >= limit)
-        if splits.count(s) > 1:
-            tests.append(v > limit)
-    return values.withColumn("_cell", passed(len(tests), tests.__getitem__))
-
-
-def _by_cells(
-    values: DataFrame, keys: Sequence[str], order: Sequence[str], unique: bool, sought: DataFrame, around: Sequence[float]
-) -> DataFrame:
-    """Rows at the wanted ranks, looked for in the cells that hold them."""
-    celled = _cell(values, keys, order[0], around)
-    # One row per group and cell: the window sees the cells of a group.
-    sizes = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_cell")) - F.col("_size")
-    counted = sizes.withColumn("_offset", before)
-    if keys:
-        counted = null_safe_join(counted, sought, keys)
-    else:
-        whole = sought.first()
-        counted = counted.withColumns({"n": F.lit(whole["n"]), "_wanted": F.lit(whole["_wanted"]).cast("array<bigint>")})
-    inside = "transform(filter(_wanted, r -> r > _offset and r <= _offset + _size), r -> r - _offset)"
-    cells = materialize(
-        counted.withColumn("_wanted", F.expr(inside)).filter(F.size("_wanted") > 0).drop("_size"), "cells"
-    )
-    near = null_safe_join(celled, cells.select(*keys, "_cell"), [*keys, "_cell"], "inner")
-    hits = _by_ranges(near, [*keys, "_cell"], order, unique, cells)
-    offsets = cells.select(*keys, "_cell", "_offset")
-    return null_safe_join(hits, offsets, [*keys, "_cell"]).withColumn("_rank", F.col("_rank") + F.col("_offset"))
+    return found.select(*keys, "n", "stats")
 
 
 def _by_ranges(
@@ -198,7 +111,7 @@ def quantile_table(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence
     ranks = F.expr(
         f"concat(transform({points}, p -> floor(p * (n - 1)) + 1), transform({points}, p -> least(floor(p * (n - 1)) + 2, n)))"
     )
-    found = order_statistics(df, keys, [col], ranks, probs)
+    found = order_statistics(df, keys, [col], ranks)
     at = "cast(stats[least(floor(p * (n - 1)) + {}, n)].`" + col + "` as double)"
     low, high = at.format(1), at.format(2)
     interpolated = f"transform({points}, p -> {low} + ({high} - {low}) * (p * (n - 1) - floor(p * (n - 1))))"
@@ -214,12 +127,13 @@ def with_quantiles(
 
 
 def _reached(limit: Column, order: Sequence[str]) -> Column:
-    """Whether the row is at or after ``limit`` in the order, column by column."""
-    *front, last = order
-    at = F.col(last) >= limit[last]
-    for c in reversed(front):
-        at = (F.col(c) > limit[c]) | ((F.col(c) == limit[c]) & at)
-    return at
+    """Whether the row is at or after ``limit`` in the order, column by column, nulls first; null
+    where there is no limit."""
+    at = F.lit(True)
+    for c in reversed(order):
+        after = F.coalesce(F.col(c) > limit[c], F.col(c).isNotNull() & limit[c].isNull())
+        at = after | (F.col(c).eqNullSafe(limit[c]) & at)
+    return F.when(limit.isNotNull(), at)
 
 
 def ntile_groups(
@@ -234,10 +148,9 @@ def ntile_groups(
     # First rank of every bucket but the first; the first (size mod n) buckets hold one row more.
     # The last entry lies past the end of the group and is never found.
     ranks = F.expr(f"transform(sequence(1, {n}), i -> (n - n % {n}) div {n} * i + least(i, n % {n}) + 1)")
-    fractions = [i / n for i in range(1, n)] or [1.0]
     # In the order of the ranks; a group smaller than n has fewer limits.
     sorted_ranks = F.array_sort(F.map_keys("stats"))
-    table = order_statistics(df, keys, order, ranks, fractions, unique=True).withColumn(
+    table = order_statistics(df, keys, order, ranks, unique=True).withColumn(
         "_limits", F.transform(sorted_ranks, lambda r: F.element_at("stats", r))
     )
     limited = _with_group_array(df, table, keys, "_limits")
@@ -257,14 +170,18 @@ def position_groups(
 ) -> DataFrame:
     """0-based groups split at the values in the sorted places round(i(N+1)/n - 1), i = 1..n-1.
 
-    A value equal to a limit falls below it; halves round to even. A group needs at least
-    n - 1 rows for its places to exist.
+    A value equal to a limit falls below it; halves round to even. The places exist in groups of
+    at least n - 1 rows; a smaller group stops the query.
     """
     if n < 2:
         raise ValueError("at least two groups")
     places = f"transform(sequence(1, {n - 1}), i -> cast(rint(i * (n + 1) / {n} - 1) as bigint) + 1)"
-    table = order_statistics(df, keys, [col], F.expr(places), [i / n for i in range(1, n)]).withColumn(
-        "_limits", F.expr(f"transform({places}, r -> stats[r].`{col}`)")
+    kind = dict(df.dtypes)[col]
+    table = order_statistics(df, keys, [col], F.expr(places)).withColumn(
+        "_limits",
+        F.when(
+            F.col("n") < n - 1, F.raise_error(F.lit(f"fewer than {n - 1} rows cannot make {n} groups")).cast(f"array<{kind}>")
+        ).otherwise(F.expr(f"transform({places}, r -> stats[r].`{col}`)")),
     )
     limited = _with_group_array(df, table, keys, "_limits")
     below = passed(n - 1, lambda i: F.get("_limits", i) < F.col(col))

@@ -37,18 +37,8 @@ def sql_ntile(values, n):
     return out
 
 
-@pytest.fixture(params=["window", "cells", "ranges"])
-def regime(request, monkeypatch):
-    """All three ways of finding ranks, which the number of rows and groups decides between."""
-    if request.param != "window":
-        monkeypatch.setattr(ranking, "SMALL_ROWS", 0)
-    if request.param == "ranges":
-        monkeypatch.setattr(ranking, "MANY_GROUPS", 2)
-    return request.param
-
-
 @pytest.mark.parametrize("partitions", ["1", "30"])
-def test_ntile(spark, frame, data, partitions, regime):
+def test_ntile(spark, frame, data, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
@@ -64,20 +54,40 @@ def test_ntile(spark, frame, data, partitions, regime):
     assert got == {i: (whole.get(i), per.get(i)) for i, _, _ in data}
 
 
-def test_ntile_of_small_groups(spark, rows, regime):
+def test_ntile_of_small_groups(spark, rows):
     df = spark.createDataFrame([("x", 1, 5.0), ("y", 2, 1.0), ("y", 3, 2.0), ("z", 4, None)], "g string, id int, v double")
     assert rows(ranking.ntile_groups(df, "v", 4, ["id"], ["g"]), "id", "group") == [(1, 1), (2, 1), (3, 2), (4, None)]
     assert rows(ranking.ntile_groups(df.filter("id = 4"), "v", 4, ["id"]), "id", "group") == [(4, None)]
     assert rows(ranking.ntile_groups(df, "v", 1, ["id"]), "id", "group") == [(1, 1), (2, 1), (3, 1), (4, None)]
 
 
+def test_unknown_tiebreaks_come_first(spark, rows):
+    """Rows whose tiebreak is unknown take part: groups of five, not of three."""
+    data = [(float(i // 2), None if i % 2 else i, i) for i in range(20)]
+    df = spark.createDataFrame(data, "income double, moved int, id int")
+    got = rows(ranking.ntile_groups(df, "income", 4, ["moved", "id"]), "id", "group")
+    place = {i: k for k, (_, _, i) in enumerate(sorted(data, key=lambda r: (r[0], r[1] is not None, r[1] or 0)))}
+    assert got == sorted(((i, place[i] // 5 + 1) for i in range(20)), key=lambda r: tuple((True, str(v)) for v in r))
+
+
+def test_text_is_ranked(spark, rows):
+    df = spark.createDataFrame([(c, i) for i, c in enumerate("dbacfe")], "v string, id int")
+    assert rows(ranking.ntile_groups(df, "v", 3, ["id"]), "v", "group") == [("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 3), ("f", 3)]
+
+
+def test_too_few_rows_for_the_places(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    with pytest.raises(Exception, match="fewer than 9 rows"):
+        ranking.position_groups(df, "v", 10).collect()
+
+
 def test_group_sizes_differ_by_one(frame):
     sizes = [r["count"] for r in ranking.ntile_groups(frame.dropna(), "v", 10, ["id"]).groupBy("group").count().collect()]
     assert len(sizes) == 10 and max(sizes) - min(sizes) <= 1
 
 
 @pytest.mark.parametrize("keys", [[], ["g"]])
-def test_quantiles(frame, data, keys, regime):
+def test_quantiles(frame, data, keys):
     probs = [0.0, 0.025, 0.1, 0.5, 0.975, 1.0]
     for r in ranking.quantile_table(frame, keys, "v", probs).collect():
         mine = [v for _, g, v in data if v is not None and (not keys or g == r["g"])]
@@ -93,7 +103,7 @@ def test_quantile_groups_keep_ties_together(frame, data):
 
 
 @pytest.mark.parametrize("n", [2, 40])
-def test_position_groups(frame, data, n, regime):
+def test_position_groups(frame, data, n):
     known = np.sort([v for _, _, v in data if v is not None])
     places = np.round(np.arange(1, n) * (len(known) + 1) / n - 1).astype(int)
     for r in ranking.position_groups(frame, "v", n).collect():
