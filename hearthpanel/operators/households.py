@@ -217,7 +217,9 @@ def loan_offer(
     df: DataFrame, cost: Value, base_rate: Value, markup: float, max_ltv: float, periods: int, subsidy: Value = 0.0
 ) -> DataFrame:
     """Offered rate, rising with the loan to value, and the annuity instalment."""
-    rate = col(base_rate) + markup * (1 + c("loan") / ((1 - col(subsidy)) * col(cost) * max_ltv))
+    # Nothing is left to borrow for under a full subsidy.
+    to_value = F.coalesce(F.try_divide(c("loan"), (1 - col(subsidy)) * col(cost) * max_ltv), F.lit(0.0))
+    rate = col(base_rate) + markup * (1 + to_value)
     return df.withColumn("offerrate", rate).withColumn("instalment", annuity(c("loan"), c("offerrate"), periods))
 
 
@@ -227,7 +229,9 @@ def credit_rationing(
 ) -> DataFrame:
     """1 where loan to value or instalment to income is too high and a loan is wanted at all."""
     over_value = c("loan") + c("debt") > (1 - col(subsidy)) * col(cost) * (max_ltv + col(ltv_change))
-    over_income = c("instalment") / c("income") > max_dti + col(dti_change)
+    # Without an income any instalment is too high.
+    to_income = F.when(c("income") == 0, F.lit(float("inf"))).otherwise(F.try_divide(c("instalment"), c("income")))
+    over_income = to_income > max_dti + col(dti_change)
     wanted = (c("loan") != 0) & (c("feasible") != 0) & (c("pv") != 1)
     return df.withColumn("rationed", F.when(wanted & (over_value | over_income), 1).otherwise(0))
 

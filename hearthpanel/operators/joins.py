@@ -22,6 +22,14 @@ def chain_left_join(dfs: Sequence[DataFrame]) -> DataFrame:
     return reduce(natural_left_join, dfs)
 
 
+def unique_rows(table: DataFrame, key: str) -> DataFrame:
+    """A lookup table, written once; an error if its key repeats, since a join would multiply rows."""
+    book = materialize(table, "lookup")
+    if book.groupBy(key).count().filter("count > 1").limit(1).count():
+        raise ValueError(f"key {key} of a lookup table is not unique")
+    return book
+
+
 def codebook_join(df: DataFrame, codebook: DataFrame, left: str, right: str | None = None) -> DataFrame:
     """Attach concept, group or label to a code column.
 
@@ -29,9 +37,7 @@ def codebook_join(df: DataFrame, codebook: DataFrame, left: str, right: str | No
     broadcast. Its key must be unique, otherwise rows would multiply.
     """
     right = right or left
-    book = materialize(codebook.distinct(), "codebook")
-    if book.groupBy(right).count().filter("count > 1").limit(1).count():
-        raise ValueError(f"codebook key {right} is not unique")
+    book = unique_rows(codebook.distinct(), right)
     return df.join(book.withColumnRenamed(right, "_code"), F.col(left) == F.col("_code"), "left").drop("_code")
 
 
@@ -55,7 +61,7 @@ def percentile_lookup_join(
     df: DataFrame, lookup: DataFrame, percentile: str = "percentile", value: str = "value", name: str = "share"
 ) -> DataFrame:
     """Value of a percentile table (100 rows) for each row's percentile."""
-    table = lookup.select(F.col(percentile).alias("_p"), F.col(value).alias(name))
+    table = unique_rows(lookup.select(F.col(percentile).alias("_p"), F.col(value).alias(name)), "_p")
     return df.join(table, F.col(percentile) == F.col("_p"), "left").drop("_p")
 
 
@@ -67,7 +73,7 @@ def year_lookup_earliest_fallback(
     df: DataFrame, series: DataFrame, year: str | Column, name: str, on: str = "year", value: str = "value"
 ) -> DataFrame:
     """Value of a yearly series in ``year``; outside the series its earliest value."""
-    table = series.select(F.col(on).alias("_y"), F.col(value).alias("_v"))
+    table = unique_rows(series.select(F.col(on).alias("_y"), F.col(value).alias("_v")), "_y")
     wanted = F.col(year) if isinstance(year, str) else year
     joined = broadcast_scalars(df.join(table, wanted == F.col("_y"), "left"), earliest_value(series, on, value))
     return joined.withColumn(name, F.coalesce("_v", "_earliest")).drop("_y", "_v", "_earliest")

@@ -51,7 +51,7 @@ def _attach_salted(df: DataFrame, stats: DataFrame, keys: Sequence[str], is_hot:
     values = [c for c in stats.columns if c not in keys]
     hot = stats.filter(is_hot).withColumnsRenamed({v: f"_hot_{v}" for v in values}).withColumn("_is_hot", F.lit(True))
     marked = null_safe_join(df, F.broadcast(hot), keys).withColumn(
-        "_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)) + 1).otherwise(0)
+        "_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), F.lit(SALTS)) + 1).otherwise(0)
     )
     # Rows of hot keys carry a salt above 0 and find no partner here; they have theirs already.
     joined = null_safe_join(marked, stats.withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"])

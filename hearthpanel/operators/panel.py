@@ -120,8 +120,8 @@ def earlier_values(
 ) -> DataFrame:
     """Values of earlier periods beside each row: new name -> (column, periods back).
 
-    (keys, period) must be unique. Every row is sent to the periods that look back on it and one
-    aggregation puts them together, so a long series spreads over many tasks.
+    (keys, period) must be unique, else the query stops. Every row is sent to the periods that look
+    back on it and one aggregation puts them together, so a long series spreads over many tasks.
     """
     lags = sorted({back for _, back in cols.values()})
     carried = [c for c in df.columns if c not in keys and c != period]
@@ -133,11 +133,12 @@ def earlier_values(
         return F.max(F.when(F.col("_back") == back, c if isinstance(c, Column) else F.col(c)))
 
     put = sent.withColumn("_period", F.col(period) - F.col("_back")).groupBy(*keys, period).agg(
-        at(0, F.lit(1)).alias("_own"),
+        F.count(F.when(F.col("_back") == 0, 1)).alias("_own"),
         *[at(0, c).alias(c) for c in carried],
         *[at(back, "_period" if c == period else c).alias(name) for name, (c, back) in cols.items()],
     )
-    return put.filter(F.col("_own").isNotNull()).select(*df.columns, *cols)
+    twice = F.raise_error(F.concat(F.lit("more than one row in period "), F.col(period).cast("string"))).cast("boolean")
+    return put.filter(F.when(F.col("_own") > 1, twice).otherwise(F.col("_own") == 1)).select(*df.columns, *cols)
 
 
 def period_change(

@@ -16,8 +16,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthpanel.operators.keyed import attach, group_stats
+from hearthpanel.operators.keyed import group_stats
 from hearthpanel.operators.reshape import stack_with_id
+from hearthpanel.workspace import materialize
 
 INTERCEPT = "(Intercept)"
 
@@ -60,7 +61,9 @@ def _solve(names: Sequence[str], cross: np.ndarray, dof_used: int, n: int):
     scale = np.sqrt(np.diag(xx)[kept])
     inverse = np.linalg.inv(xx[np.ix_(kept, kept)] / np.outer(scale, scale)) / np.outer(scale, scale)
     beta = inverse @ xy[kept]
-    residual = max(float(yy - beta @ xy[kept]), 0.0)
+    residual = float(yy - beta @ xy[kept])
+    if residual <= 1e-10 * yy:  # an exact fit; what is left are rounding errors
+        residual = 0.0
     dof = n - len(kept) - dof_used
     variance = residual / dof if dof > 0 else float("nan")
     coef = {names[j]: float(b) for j, b in zip(kept, beta)}
@@ -133,46 +136,73 @@ def ols_fixed_effect(df: DataFrame, y: str, xs: Sequence[str], fe: str, squares:
     return ols(df, y, xs, squares, fe)
 
 
-def ols_two_way_fe(
-    df: DataFrame, y: str, xs: Sequence[str], fe1: str, fe2: str, squares: Sequence[str] = (), max_levels: int = 60
-) -> Fit:
-    """Absorbed ``fe1`` (few levels, such as years) and ``fe2`` (many, such as households).
+def ols_two_way_fe(df: DataFrame, y: str, xs: Sequence[str], fe1: str, fe2: str, squares: Sequence[str] = ()) -> Fit:
+    """Absorbed ``fe1`` (fewer levels, such as years) and ``fe2`` (many, such as households).
 
-    Exact without iteration: indicators of fe1 are regressors and everything is demeaned within
-    fe2. With more than ``max_levels`` levels in fe1, pass the effects the other way round.
+    Exact without iteration: indicators of fe1 are regressors and everything is demeaned within fe2.
+    One grouping by (fe2, fe1) gives sums and cross-products; what demeaning takes off follows from the
+    sums of a household, so rows are never joined to means. The indicators' products come as rows per
+    pair of levels; the driver holds one number per pair.
     """
     names = [*xs, *[f"{c}^2" for c in squares]]
+    cols = [*names, y]
     data = _with_squares(df, squares).dropna(subset=[*xs, y, fe1, fe2])
-    levels = sorted(r[0] for r in data.select(fe1).distinct().limit(max_levels + 1).collect())
-    if len(levels) > max_levels:
-        raise ValueError(f"{fe1} has more than {max_levels} levels; exchange the two effects")
-    marks = {f"_level{i}": level for i, level in enumerate(levels[1:])}
-    cols = [*names, *marks, y]
     data = data.select(
-        fe2,
-        *[_term(c).cast("double").alias(c) for c in [*names, y]],
-        *[(F.col(fe1) == level).cast("double").alias(c) for c, level in marks.items()],
+        F.col(fe2).alias("_home"), F.col(fe1).alias("_level"), *[_term(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]
     )
-    means = data.groupBy(fe2).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(_term(c)).alias(f"_mean_{i}") for i, c in enumerate(cols)])
-    joined = attach(data, means, [fe2], "_n")
-    within = joined.select(
-        F.lit(1.0) / F.col("_n"), *[(_term(c) - F.col(f"_mean_{i}")).alias(f"_{i}") for i, c in enumerate(cols)]
-    ).toDF("_share", *[f"_{i}" for i in range(len(cols))])
-    # The shares 1/n of a household's rows add up to the number of households.
-    products = [
-        F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"m{i}_{j}")
-        for i, j in combinations_with_replacement(range(len(cols)), 2)
-    ]
-    row = within.agg(F.count(F.lit(1)).alias("n"), F.sum("_share").alias("groups"), *products).first()
-    if not row["n"]:
+    # Around the means of all rows, which demeaning takes off anyway, products keep their digits.
+    centre = data.agg(F.count(F.lit(1)), *[F.avg(f"_{i}") for i in range(len(cols))]).first()
+    if not centre[0]:
         raise ValueError("no complete rows to fit")
-    coef, se, dropped, *_ = _solve(cols[:-1], _matrix(row.asDict(), len(cols)), round(row["groups"]), row["n"])
+    data = data.withColumns({f"_{i}": F.col(f"_{i}") - F.lit(centre[i + 1]) for i in range(len(cols))})
+    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    cells = data.groupBy("_home", "_level").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(f"_{i}").alias(f"_s{i}") for i in range(len(cols))],
+        *[F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"_q{i}_{j}") for i, j in pairs],
+    )
+    # A household has one cell per level at most.
+    homes = materialize(
+        cells.groupBy("_home").agg(
+            F.sum("_n").alias("_n"),
+            F.collect_list(F.struct("_level", "_n", *[f"_s{i}" for i in range(len(cols))])).alias("_cells"),
+            *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(cols))],
+            *[F.sum(f"_q{i}_{j}").alias(f"_q{i}_{j}") for i, j in pairs],
+        ),
+        "homes",
+    )
+    within = homes.agg(
+        F.count(F.lit(1)).alias("groups"),
+        *[F.sum(F.col(f"_q{i}_{j}") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("_n")).alias(f"m{i}_{j}") for i, j in pairs],
+    ).first()
+    each = homes.select("_n", "_cells", *[f"_s{i}" for i in range(len(cols))], F.explode("_cells").alias("c"))
+    marked = each.groupBy(F.col("c._level").alias("level")).agg(
+        F.sum("c._n").alias("n"),
+        *[F.sum(F.col(f"c._s{i}") - F.col(f"_s{i}") * F.col("c._n") / F.col("_n")).alias(f"s{i}") for i in range(len(cols))],
+    )
+    by_level = {r["level"]: r for r in marked.collect()}
+    both = each.select("_n", "c", F.explode("_cells").alias("d")).groupBy(F.col("c._level").alias("a"), F.col("d._level").alias("b"))
+    shared = {(r["a"], r["b"]): r["v"] for r in both.agg(F.sum(F.col("c._n") * F.col("d._n") / F.col("_n")).alias("v")).collect()}
+
+    levels = sorted(by_level)
+    marks = {f"_level{i}": level for i, level in enumerate(levels[1:])}
+    k, order = len(names), [*names, *marks, y]
+    cross = np.zeros((len(order), len(order)))
+    place = [*range(k), len(order) - 1]
+    for i, j in pairs:
+        cross[place[i], place[j]] = cross[place[j], place[i]] = within[f"m{i}_{j}"]
+    for m, level in enumerate(marks.values(), k):
+        for i in range(len(cols)):
+            cross[m, place[i]] = cross[place[i], m] = by_level[level][f"s{i}"]
+        for o, other in enumerate(marks.values(), k):
+            cross[m, o] = (by_level[level]["n"] if level == other else 0) - shared.get((level, other), 0.0)
+    coef, se, dropped, *_ = _solve(order[:-1], cross, within["groups"], centre[0])
     effects = {levels[0]: 0.0, **{level: coef.get(c, 0.0) for c, level in marks.items()}}
     return Fit(
         y,
         {c: v for c, v in coef.items() if c not in marks},
         {c: v for c, v in se.items() if c not in marks},
-        row["n"],
+        centre[0],
         tuple(squares),
         (fe1, fe2),
         tuple(c for c in dropped if c not in marks),

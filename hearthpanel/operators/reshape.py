@@ -13,14 +13,19 @@ from hearthpanel.operators.joins import natural_left_join
 def wide_to_long(
     df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = None, name: str = "var", value: str = "value"
 ) -> DataFrame:
-    """One row per id row and value column, nulls kept."""
+    """One row per id row and value column, nulls kept; numbers as doubles, as text if any column is text."""
     cols = values or [c for c in df.columns if c not in ids]
-    return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(ids), cols, name, value)
+    types = dict(df.dtypes)
+    kind = "string" if any(types[c] == "string" for c in cols) else "double"
+    return df.select(*ids, *[F.col(c).cast(kind).alias(c) for c in cols]).unpivot(list(ids), cols, name, value)
 
 
 def long_to_wide(df: DataFrame, ids: Sequence[str], name: str, value: str, values: Sequence[str]) -> DataFrame:
-    """One column per entry of ``values``; giving them saves the job that would look for them."""
-    return df.groupBy(*ids).pivot(name, list(values)).agg(F.max(value))
+    """One column per entry of ``values``; giving them saves the job that would look for them.
+    A cell given by more than one row stops the query."""
+    twice = F.concat(F.lit("more than one value for "), F.max(F.col(name).cast("string")))
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(twice).cast(dict(df.dtypes)[value])).otherwise(F.max(value))
+    return df.groupBy(*ids).pivot(name, list(values)).agg(one)
 
 
 def metrics_to_facets(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:

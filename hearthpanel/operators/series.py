@@ -31,14 +31,17 @@ def ar1_fit(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataF
     """Per series: intercept and slope of the change on the change before, sample standard
     deviation of the residuals, and the last value, change and period."""
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    rest = F.regr_syy("y", "x") - F.pow(F.regr_sxy("y", "x"), F.lit(2)) / F.regr_sxx("y", "x")
+    # A series whose changes are all alike has no slope: the mean of the changes is all that fits.
+    explained = F.coalesce(F.try_divide(F.pow(F.regr_sxy("y", "x"), F.lit(2)), F.regr_sxx("y", "x")), F.lit(0.0))
+    flat = F.regr_sxx("y", "x") == 0
+    rest = F.regr_syy("y", "x") - explained
     return (
         differences(df, keys, order, value)
         .groupBy(*keys)
         .agg(
             F.count(F.when(both, 1)).alias("n"),
-            F.regr_intercept("y", "x").alias("intercept"),
-            F.regr_slope("y", "x").alias("slope"),
+            F.when(flat, F.regr_avgy("y", "x")).otherwise(F.regr_intercept("y", "x")).alias("intercept"),
+            F.when(flat, 0.0).otherwise(F.regr_slope("y", "x")).alias("slope"),
             rest.alias("_rest"),
             F.max_by(value, order).alias("last"),
             F.max_by("y", order).alias("change"),
@@ -105,15 +108,19 @@ def rls_fold(
 
     Per series: moment matrix ``r11 r12 r21 r22`` and coefficients ``n1 n2`` after the last
     period. With gain g the recursion moves R to (1-g)R + g zz' and R*coef to (1-g)R*coef + g z y,
-    so both are sums weighted by (1-g)^age and no ordered pass over the series is needed. A
-    singular update cannot occur from a positive definite start, which is required.
+    so both are sums weighted by (1-g)^age and no ordered pass over the series is needed. An update
+    that would make the matrix singular keeps the old one: from a positive definite start, which is
+    required, that happens with gain 1 only, and then always, so the matrix stays as it starts and the
+    coefficients are folded in order, one series' steps at a time. The gain of a series must not vary.
     """
     m11, m12, m21, m22 = (float(m) for m in matrix)
     if m11 <= 0 or 4 * m11 * m22 <= (m12 + m21) ** 2:
         raise ValueError("the starting matrix must be positive definite")
     rows = differences(df.select(*keys, order, value, gain), keys, order, value)
     rows = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    gains = df.groupBy(*keys).agg(F.max(gain).alias("_gain"), F.max(order).alias("_last"), F.count(F.lit(1)).alias("_obs"))
+    varies = F.raise_error(F.lit(f"{gain} varies within a series")).cast("double")
+    one_gain = F.when(F.min(gain) != F.max(gain), varies).otherwise(F.max(gain)).alias("_gain")
+    gains = df.groupBy(*keys).agg(one_gain, F.max(order).alias("_last"), F.count(F.lit(1)).alias("_obs"))
     aged = attach(rows, gains, keys, "_obs").withColumn(
         "_w", F.col("_gain") * F.pow(1 - F.col("_gain"), F.col("_last") - F.col(order))
     )
@@ -130,6 +137,7 @@ def rls_fold(
         F.max_by(value, order).alias("last"),
         F.max_by("y", order).alias("change"),
         F.max(order).alias("last_period"),
+        F.sort_array(F.collect_list(F.when(F.col("_gain") == 1, F.struct(order, "x", "y")))).alias("_steps"),
     )
     left = F.col("_left")
     state = sums.withColumns(
@@ -143,12 +151,29 @@ def rls_fold(
         }
     )
     det = F.col("r11") * F.col("r22") - F.col("r12") * F.col("r21")
-    return state.withColumns(
-        {
-            "n1": (F.col("r22") * F.col("_b1") - F.col("r12") * F.col("_b2")) / det,
-            "n2": (F.col("r11") * F.col("_b2") - F.col("r21") * F.col("_b1")) / det,
-        }
-    ).drop("_left", "_s1", "_sx", "_sxx", "_sy", "_sxy", "_b1", "_b2")
+    fixed = m11 * m22 - m12 * m21
+
+    def step(coef: Column, at: Column) -> Column:
+        error = (at["y"] - coef["a"] - coef["b"] * at["x"]) / fixed
+        a, b = coef["a"] + (m22 - m12 * at["x"]) * error, coef["b"] + (m11 * at["x"] - m21) * error
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    begin = F.struct(F.lit(float(start[0])).alias("a"), F.lit(float(start[1])).alias("b"))
+    folded = state.withColumn("_folded", F.aggregate("_steps", begin, step))
+    kept = F.col(gain) == 1
+    solved = {
+        "n1": F.when(kept, F.col("_folded.a")).otherwise(
+            F.try_divide(F.col("r22") * F.col("_b1") - F.col("r12") * F.col("_b2"), det)
+        ),
+        "n2": F.when(kept, F.col("_folded.b")).otherwise(
+            F.try_divide(F.col("r11") * F.col("_b2") - F.col("r21") * F.col("_b1"), det)
+        ),
+    }
+    matrix_kept = {
+        name: F.when(kept, F.lit(m)).otherwise(F.col(name)) for name, m in zip(("r11", "r12", "r21", "r22"), (m11, m12, m21, m22))
+    }
+    return folded.withColumns(solved).withColumns(matrix_kept).drop(
+        "_steps", "_folded", "_left", "_s1", "_sx", "_sxx", "_sy", "_sxy", "_b1", "_b2")
 
 
 def _product(first: str, *rest: str) -> Column:

@@ -1,4 +1,8 @@
-"""The pipeline from survey waves to the descriptive tables, one lazy plan per job."""
+"""The pipeline from survey waves to the descriptive tables.
+
+Building a job's plan may already run Spark jobs: statistics of groups, rank limits and fits are written
+or collected before the rows that need them are read again.
+"""
 
 from __future__ import annotations
 
@@ -41,6 +45,15 @@ def _code(column: str, stem: str = "consum") -> str:
     return re.sub(f"b|{stem}|c|d|e", "", column) if stem in column else re.sub("_.*", "", column)
 
 
+def _entries(codebook: DataFrame, key: str, value: str, wanted: set[str]) -> dict[str, str]:
+    """The entries of a codebook for the columns of a table, of which there are few; unique by key."""
+    rows = codebook.filter(F.col(key).isin(sorted(wanted))).groupBy(key)
+    found = rows.agg(F.min(value).alias("one"), F.count_distinct(value).alias("n")).collect()
+    if twice := sorted(r[key] for r in found if r["n"] > 1):
+        raise ValueError(f"codebook entries with several meanings: {twice}")
+    return {r[key]: r["one"] for r in found}
+
+
 def job_consumption(
     wide: DataFrame, codebook: DataFrame, panel_rows: DataFrame, concepts: Sequence[str], year: int = 2010
 ) -> DataFrame:
@@ -51,7 +64,9 @@ def job_consumption(
     in place instead of being melted, grouped and spread again.
     """
     kept = clean.select_name_contains(wide, ["f", "_a", *[f"{i}a" for i in range(1, 18)]], negate=True)
-    book = {r["code"]: r["concept"] for r in codebook.select("code", "concept").distinct().collect()}
+    book = _entries(codebook, "code", "concept", {_code(c) for c in kept.columns if c != "hid"})
+    if missing := set(book.values()) - set(concepts):
+        raise ValueError(f"columns of concepts that are not asked for: {sorted(missing)}")
     status = aggregates.max_all_columns(clean.filter_year_range(panel_rows, year, year).select("hid", "income", "owner"), ["hid"])
 
     columns = [c for c in kept.columns if c != "hid" and _code(c) in book]
@@ -75,10 +90,13 @@ def job_consumption(
 
     def yearly(concept: str) -> Column:
         mine = [c for c in columns if book[_code(c)] == concept]
+        if not mine:
+            return F.lit(None).cast("double")
         known = reduce(add, [used(c, "_known_") for c in mine])
         asked = reduce(add, [used(c, "_asked_") for c in mine])
         total = reduce(add, [used(c, "_sum_") for c in mine])
-        return F.when(known == asked, total / known * 12 / 1000)
+        # Nothing known of a concept that was not asked in the household's role.
+        return F.when(known == asked, F.try_divide(total, known) * 12 / 1000)
 
     joined = joined.withColumns({f"_asked_{c}": F.col("_rows") for c in columns})
     out = joined.select("hid", "income", "owner", *[yearly(c).alias(c) for c in concepts])
@@ -94,7 +112,7 @@ def job_wealth(
     A column belongs to a family by its first four characters and is used once. ``codebook`` maps
     the five-character variable to its component. One grouping serves all families.
     """
-    book = {r["var"]: r["VarText"] for r in codebook.select("var", "VarText").distinct().collect()}
+    book = _entries(codebook, "var", "VarText", {c[:5] for c in wide.columns})
     variables: dict[str, list[str]] = {}
     for c in wide.columns:
         if c[:4] in families and c[:5] in book:
@@ -118,16 +136,39 @@ def job_wealth(
 # --- person panel -----------------------------------------------------------------------------
 
 
-def harmonise(rows: DataFrame) -> DataFrame:
+# The survey's columns by how they are cleaned. Columns a table lacks are skipped.
+UNUSED = (
+    "sample", "MaritalStatus", "region", "AcqMeans", "HouseCondition", "HouseholdType", "subsidies", "year_moved",
+)
+AMOUNTS = (
+    "age", "Npersons", "Nkids", "education", "employment", "income", "GrossIncome", "NewestConstDate", "OldestConstDate",
+    "PowerCosts", "OtherUtilityCosts", "WarmWaterCosts", "YearMoved", "FreeRent", "HouseSize", "GasCosts",
+)
+ANSWERS = (
+    "ac", "basement", "FloorHeating", "garden", "CentralFloorHeating", "ThermalInsulation", "elevator", "DoubleGlazing",
+    "AlternativeEnergy", "pv", "balcony", "boiler",
+)
+LABELLED = ("sex", "head", "owner", "occupation")
+
+
+def harmonise(
+    rows: DataFrame,
+    unused: Sequence[str] = UNUSED,
+    amounts: Sequence[str] = AMOUNTS,
+    answers: Sequence[str] = ANSWERS,
+    labelled: Sequence[str] = LABELLED,
+) -> DataFrame:
     """Clean a joined person-year table and turn purchases into ownership by dwelling spell.
 
+    Negative codes of ``amounts``, ``answers`` and ``labelled`` columns become null, answers 0 or 1.
     Two groupings carry all spell logic: the purchase state per (pid, YearMoved), then owner,
-    dwelling type, first year and ownership per (pid, hid, YearMoved).
+    dwelling type, first year and ownership per (pid, hid, YearMoved). The cleaned rows are written
+    once; both groupings and the result read them.
     """
-    amounts = ["age", "Npersons", "education", "income", "GrossIncome", "PowerCosts", "YearMoved"]
-    answers = ["pv", "garden", "elevator"]
-    df = clean.negatives_to_null(rows, [*amounts, *answers, "sex", "head", "owner"])
-    df = clean.yes_no_to_binary(df, answers)
+    present = lambda names: [c for c in names if c in rows.columns]
+    df = clean.drop_columns(rows, present(unused))
+    df = clean.negatives_to_null(df, present([*amounts, *answers, *labelled]))
+    df = materialize(clean.yes_no_to_binary(df, present(answers)), "persons")
     for amount in ("income", "GrossIncome"):
         df = clean.scale_units(df, amount, 1 / 1000)
     df = clean.text_null_token(df, "LodgeEnglish")
@@ -155,7 +196,7 @@ def job_income_brackets(panel_rows: DataFrame, year: int, cuts: Sequence[float],
     """Income brackets with the percentiles of their limits, rounded half to even."""
     rows = clean.filter_year_range(panel_rows, year, year)
     incomes = aggregates.mean_over_imputations(rows, ["year", "hid"], "income")
-    incomes = clean.drop_null_rows(clean.scale_units(incomes, "income", factor), ["income"])
+    incomes = materialize(clean.drop_null_rows(clean.scale_units(incomes, "income", factor), ["income"]), "incomes")
     banded = clean.parse_interval_label(panel.fixed_bands(incomes, "income", cuts, label="amt"), "amt")
     brackets = banded.select("band", "amt", "LowAmt", "HighAmt").distinct()
     # Fewer than a handful of brackets, so their limits may come to the driver.
@@ -232,7 +273,8 @@ def household_spells(panel_rows: DataFrame, ref_year: int) -> DataFrame:
     """Harmonised persons -> one row per household, dwelling spell and year."""
     rolled = panel_rows.groupBy("year", *HOME).agg(
         F.avg("income").alias("income"),
-        F.max("age").alias("age"),
+        # An unknown age may be the highest.
+        F.when(F.count("age") == F.count(F.lit(1)), F.max("age")).alias("age"),
         first_known("lodge", ["pid"]).alias("HouseType"),
         F.avg("PowerCosts").alias("PowerCosts"),
         F.max("pv").alias("pv"),
@@ -275,7 +317,7 @@ def job_consumption_deciles(consumption: DataFrame) -> DataFrame:
 def job_power_deciles(panel_rows: DataFrame, years: Sequence[int]) -> DataFrame:
     """Income and yearly power cost by income band and year, without both income tails."""
     rows = clean.filter_year_in(panel_rows, years).select("year", "hid", "income", "PowerCosts")
-    best = clean.drop_null_rows(aggregates.max_all_columns(rows, ["year", "hid"]), ["income"])
+    best = materialize(clean.drop_null_rows(aggregates.max_all_columns(rows, ["year", "hid"]), ["income"]), "best")
     banded = panel.quantile_cut_groups(best, "income", 10, "IncomeGroup")
     middle = aggregates.quantile_trim(banded, "income", 0.025, 0.975)
     out = aggregates.mean_sd_by_group(middle, ["IncomeGroup", "year"], {"income": "Inc", "PowerCosts": "PowerCost"})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthpanel.operators import households as h
@@ -47,13 +47,27 @@ def initial_households(states: DataFrame, lookups: DataFrame, market: Market) ->
     return df.withColumn("adopted", F.col("pv"))
 
 
+def under_scenarios(df: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Every row once per scenario, with the scenario's columns; any number of scenarios.
+
+    Rows are repeated with the numbers of the scenarios and joined to them by number.
+    """
+    # One row per scenario.
+    numbered = scenarios.withColumn("_scenario", F.row_number().over(Window.orderBy("scenario")) - 1)
+    policies = materialize(numbered, "scenarios")
+    n = policies.count()
+    numbers = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+    return df.withColumn("_scenario", F.explode(numbers)).join(policies, "_scenario").drop("_scenario")
+
+
 def score_households(
     states: DataFrame, learned: DataFrame, lookups: DataFrame, scenarios: DataFrame, market: Market, series: str = "series"
 ) -> DataFrame:
     """Every household under every scenario after one decision.
 
     ``learned`` holds the price coefficients per series, ``states`` names the series a household
-    looks at; ``scenarios`` are the rows of a policy schedule for the year.
+    looks at; ``scenarios`` are the rows of a policy schedule, of which those of
+    the market's year count.
     """
     df = initial_households(states, lookups, market)
     df = broadcast_scalars(
@@ -62,10 +76,7 @@ def score_households(
             F.col("tariff").alias("new_tariff"), F.col("cost").alias("cost"), F.col("baserate").alias("base_rate")
         ),
     )
-    # A handful of scenarios: each household row is repeated once per scenario.
-    policies = [r.asDict() for r in scenarios.drop("year").limit(1000).collect()]
-    rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in p.items()]) for p in policies])
-    df = df.withColumn("_p", F.explode(rows)).select("*", "_p.*").drop("_p")
+    df = under_scenarios(df, scenarios.filter(F.col("year") == market.year).drop("year"))
 
     topup, subsidy, cost = F.col("s2"), F.col("s1"), F.col("cost")
     df = h.panel_revenue(df, market.price, market.capacity, market.own_use, topup)

@@ -8,10 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthpanel.operators.reshape import stack_families
+
+
+# Each type holds the values of those before it.
+_WIDENING = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()]
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    if a == b:
+        return a
+    both = [T.DoubleType() if isinstance(t, (T.FloatType, T.DecimalType)) else t for t in (a, b)]
+    if any(t not in _WIDENING for t in both):
+        raise ValueError(f"no common type of {a.simpleString()} and {b.simpleString()}")
+    return max(both, key=_WIDENING.index)
+
 
 def scan_union_waves(spark: SparkSession, pattern: str) -> DataFrame:
-    """Every Parquet file whose path matches ``pattern``, stacked; columns a wave lacks are null."""
-    return spark.read.option("mergeSchema", "true").parquet(pattern)
+    """Every wave (Parquet file or folder) whose path matches ``pattern``, stacked; columns a wave
+    lacks are null, columns whose type differs between waves get the wider one. One footer is read
+    per wave."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    waves = [spark.read.parquet(p) for p in sorted(s.getPath().toString() for s in found)]
+    if not waves:
+        raise FileNotFoundError(pattern)
+    types: dict[str, T.DataType] = {}
+    for field in (f for w in waves for f in w.schema):
+        types[field.name] = _wider(types.get(field.name, field.dataType), field.dataType)
+    return stack_families([w.select(*[F.col(c).cast(types[c]).alias(c) for c in w.columns]) for w in waves])
 
 
 def codebook_select_rename(df: DataFrame, codebook: Mapping[str, str]) -> DataFrame:
@@ -29,11 +54,12 @@ def series_csv_to_long(spark: SparkSession, path: str) -> DataFrame:
     return long.select(F.col("year").cast("int"), F.col("value").cast("double"))
 
 
-def indexed_vector_csv(spark: SparkSession, path: str, index: str = "percentile", size: int = 100) -> DataFrame:
-    """A headerless CSV row of ``size`` values -> rows (index, value), counted from 0."""
-    names = [f"c{i}" for i in range(size)]
-    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in names])
-    return spark.read.csv(path, schema=schema).select(F.posexplode(F.array(*names)).alias(index, "value"))
+def indexed_vector_csv(spark: SparkSession, path: str, index: str = "percentile") -> DataFrame:
+    """A headerless CSV row of any number of values -> rows (index, value), counted from 0."""
+    rows = spark.read.text(path).filter(F.trim("value") != "")
+    values = rows.select(F.posexplode(F.split("value", ",")).alias(index, "value"))
+    number = F.nullif(F.trim(F.col("value"), F.lit('" ')), F.lit(""))
+    return values.select(index, number.cast("double").alias("value"))
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = (), codec: str = "gzip") -> DataFrame:

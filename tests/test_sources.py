@@ -48,3 +48,19 @@ def test_work_folder_is_the_configured_one(spark, tmp_path, monkeypatch):
     assert workspace.materialize(spark.range(3)).count() == 3
     workspace.clear_work(spark)
     assert not list(tmp_path.iterdir())
+
+
+def test_waves_of_differing_types(spark, tmp_path, rows):
+    spark.createDataFrame([(1, 2)], "id int, v int").write.parquet(f"{tmp_path}/w_1.parquet")
+    spark.createDataFrame([(2, 2.5)], "id bigint, v double").write.parquet(f"{tmp_path}/w_2.parquet")
+    spark.createDataFrame([(3, "x")], "id int, t string").write.parquet(f"{tmp_path}/w_3.parquet")
+    got = files.scan_union_waves(spark, f"{tmp_path}/w_*.parquet")
+    assert dict(got.dtypes) == {"id": "bigint", "v": "double", "t": "string"}
+    assert rows(got, "id", "v", "t") == [(1, 2.0, None), (2, 2.5, None), (3, None, "x")]
+
+
+def test_vector_of_any_length(spark, tmp_path):
+    for n in (99, 101):
+        (tmp_path / f"v{n}.csv").write_text(",".join(str(i / 2) for i in range(n)) + "\n")
+        got = files.indexed_vector_csv(spark, f"{tmp_path}/v{n}.csv").orderBy("percentile").collect()
+        assert [tuple(r) for r in got] == [(i, i / 2) for i in range(n)]
