@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import views
 from checks.cleaning import BANDS
 from checks.framework import Check
+from checks.least_squares import job_sql
 from checks.reshaping import person_tables
 from checks.statistics import OLS, OLS_SUMS
 from checks.views import CONCEPTS, FAMILIES, codebook, snapshot, view, wealth_codebook
@@ -48,9 +49,9 @@ def consumption(s, d):
     return jobs.job_consumption(view(s, d, "cw"), codebook(s), view(s, d, "py"), CONCEPTS)
 
 
-def complete_consumption(s, d):
-    """Households with every concept, written as the snapshot later jobs read."""
-    return snapshot(s, d, "consumption", lambda: clean.drop_null_rows(consumption(s, d), ["total", "income"]))
+def consumption_rows(s, d):
+    """All households, written as the snapshot later jobs read."""
+    return snapshot(s, d, "consumption", lambda: consumption(s, d))
 
 
 def person_panel(s, d):
@@ -93,10 +94,9 @@ def fitted(s, d):
 
 def regression_job(s, d):
     coefs, out = jobs.job_wealth_regression(view(s, d, "hw"), panel_snapshot(s, d))
-    return coefs.select(F.lit("estimate").alias("kind"), "spec", "term", F.lit(None).alias("hid"), F.lit(None).alias("year"), F.col("estimate").alias("value")).unionByName(
-        out.unpivot(["hid", "year"], [f"Model{i}" for i in range(1, 6)], "term", "value").select(
-            F.lit("fitted").alias("kind"), F.lit(None).alias("spec"), "term", "hid", "year", "value"
-        )
+    long = out.unpivot(["hid", "year"], [f"Model{i}" for i in range(1, 6)], "term", "fitted")
+    return coefs.select(F.lit("estimate").alias("kind"), "spec", "term", "estimate").unionByName(
+        long.select(F.lit("fitted").alias("kind"), "term", "hid", "year", "fitted"), allowMissingColumns=True
     )
 
 
@@ -111,8 +111,8 @@ views.VIEWS["cons"] = """SELECT *, Food + Clothes + Transport + Health + Insuran
     (SELECT hid, max(income) AS income, max(owner) AS owner FROM {py} WHERE year = 2010 GROUP BY 1) AS p ON p.hid = l.hid
     WHERE (owner = 1 AND var NOT LIKE 'rheat%') OR (owner IS DISTINCT FROM 1 AND var NOT LIKE 'oheat%')) JOIN {lk_codebook} USING (code)
     GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"""
-views.VIEWS["consg"] = """SELECT hid, income, ntile(10) OVER (ORDER BY income, hid) AS decile, * EXCLUDE (hid, income) FROM {cons}
-    WHERE total IS NOT NULL AND income IS NOT NULL"""
+views.VIEWS["consg"] = """SELECT hid, income, CASE WHEN income IS NOT NULL THEN
+    ntile(10) OVER (PARTITION BY income IS NULL ORDER BY income, hid) END AS decile, * EXCLUDE (hid, income) FROM {cons}"""
 views.VIEWS["consl"] = """SELECT hid, income, decile, concept, CASE concept WHEN 'Food' THEN 'Daily' WHEN 'Clothes' THEN 'Daily' WHEN 'Insurance' THEN 'Financial'
     ELSE concept END AS grp, CASE concept WHEN 'Food' THEN Food WHEN 'Clothes' THEN Clothes WHEN 'Transport' THEN Transport
     WHEN 'Health' THEN Health WHEN 'Insurance' THEN Insurance ELSE Heating END AS value
@@ -200,7 +200,7 @@ CHECKS = [
             (SELECT round_even(100.0 * count(*) FILTER (income <= b.cuts[b.band]) / count(*), 0) FROM i) AS LowPer,
             (SELECT round_even(100.0 * count(*) FILTER (income <= b.cuts[b.band + 1]) / count(*), 0) FROM i) AS HighPer FROM b""",
     ),
-    Check("job_wealth_regression", "kind:s spec:i term:s hid:i year:i value:r4", regression_job, None),
+    Check("job_wealth_regression", "kind:s spec:i term:s hid:i year:i estimate:r4 fitted:r0", regression_job, job_sql("SELECT * FROM rr", "GrossWealth")),
     Check(
         "job_household_panel",
         "hid:i year:i YearMoved:i GrossIncome:r4 income:r4 age:i HouseType:s PowerCosts:r2 pv:i PanelAge:i GrossWealth:r2 NetWealth:r2 "
@@ -234,14 +234,15 @@ CHECKS = [
     ),
     Check(
         "job_consumption_by_group", "decile:i group:s value:r4 total:r4 share:r4 position:i",
-        lambda s, d: jobs.job_consumption_by_group(complete_consumption(s, d), codebook(s)),
-        """WITH m AS (SELECT decile, grp, avg(value) AS value FROM consl GROUP BY 1, 2),
+        lambda s, d: jobs.job_consumption_by_group(consumption_rows(s, d), codebook(s)),
+        """WITH m AS (SELECT decile, grp, CASE WHEN count(value) = count(*) THEN avg(value) END AS value FROM consl GROUP BY 1, 2),
             s AS (SELECT *, sum(value) OVER (PARTITION BY decile) AS total, value / sum(value) OVER (PARTITION BY decile) * 100 AS share FROM m)
-            SELECT decile, grp AS "group", value, total, share, position FROM s JOIN (SELECT grp, dense_rank() OVER (ORDER BY median(share)) AS position FROM s GROUP BY 1) USING (grp)""",
+            SELECT decile, grp AS "group", value, total, share, position FROM s
+            LEFT JOIN (SELECT grp, dense_rank() OVER (ORDER BY median(share)) AS position FROM s WHERE share IS NOT NULL GROUP BY 1) USING (grp)""",
     ),
     Check(
         "job_consumption_income_matrix", "decile:i group:s income:r2 total:r4 share:r6 position:i",
-        lambda s, d: jobs.job_consumption_income_matrix(complete_consumption(s, d), codebook(s)),
+        lambda s, d: jobs.job_consumption_income_matrix(consumption_rows(s, d), codebook(s)),
         """WITH s AS (SELECT decile, grp, min(income) AS income, sum(value) AS total, sum(value) / min(income) * 100 AS share FROM (
             SELECT decile, grp, concept, avg(value) AS value, avg(income) AS income FROM consl GROUP BY 1, 2, 3) GROUP BY 1, 2)
             SELECT decile, grp AS "group", income, total, share, position FROM s JOIN (SELECT grp, dense_rank() OVER (ORDER BY median(total) DESC) AS position FROM s GROUP BY 1) USING (grp)""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.cleaning import BANDS, consumption_long
 from checks.framework import Check
+from checks.least_squares import EDUCATION, LINEAR, SQUARED, coef_sql
 from checks.views import FAMILIES, PRICE_SCALE, codebook, view
 from hearthpanel.operators import aggregates, clean, joins, panel, regression
 from hearthpanel.operators.keyed import group_stats
@@ -182,11 +183,12 @@ AGGREGATE_CHECKS = [
         "two_level_mean_share",
         "decile:i group:s income:r2 total:r4 share:r4",
         lambda s, d: aggregates.two_level_mean_share(
-            consumers(s, d).select("decile", "group", F.col("concept").alias("var"), "value", F.lit(1000.0).alias("income")),
+            consumers(s, d).select("decile", "group", F.col("concept").alias("var"), "value", "income"),
             ["decile", "group"],
         ),
-        f"""SELECT decile, grp AS "group", 1000 AS income, sum(v) AS total, sum(v) / 10 AS share FROM (
-            SELECT decile, grp, concept, avg(value) AS v FROM ({CONSUMERS}) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+        f"""SELECT decile, grp AS "group", min(income) AS income, sum(v) AS total, sum(v) / min(income) * 100 AS share FROM (
+            SELECT decile, grp, concept, avg(value) AS v, avg(income) AS income FROM ({CONSUMERS}) GROUP BY 1, 2, 3)
+            GROUP BY decile, grp, round(income, 6)""",
     ),
     Check(
         "duplicate_keys",
@@ -272,11 +274,13 @@ AGGREGATE_CHECKS = [
     ),
     Check(
         "ols_quadratic", COEFS,
-        lambda s, d: coefs(s, d, regression.ols_quadratic(view(s, d, "hw"), **SPECS, squares=SQUARES)), None,
+        lambda s, d: coefs(s, d, regression.ols_quadratic(view(s, d, "hw"), **SPECS, squares=SQUARES)),
+        coef_sql("SELECT * FROM hw", "GrossWealth", [*LINEAR, *SQUARED]),
     ),
     Check(
         "ols_controls", COEFS,
-        lambda s, d: coefs(s, d, regression.ols_controls(view(s, d, "hw"), **SPECS, controls=["education"], squares=SQUARES)), None,
+        lambda s, d: coefs(s, d, regression.ols_controls(view(s, d, "hw"), **SPECS, controls=["education"], squares=SQUARES)),
+        coef_sql("SELECT * FROM hw", "GrossWealth", [*LINEAR, *EDUCATION, *SQUARED]),
     ),
     Check(
         "ols_fixed_effect",
@@ -294,7 +298,7 @@ AGGREGATE_CHECKS = [
         lambda s, d: coefs(
             s, d, regression.ols_two_way_fe(view(s, d, "hw"), "GrossWealth", ["income", "age", "education"], "year", "hid", SQUARES)
         ),
-        None,
+        coef_sql("SELECT * FROM hw", "GrossWealth", [*LINEAR, *EDUCATION, *SQUARED], "hid", "year"),
     ),
     Check(
         "ols_coef_table",
@@ -412,9 +416,9 @@ WINDOW_CHECKS = [
     Check(
         "spell_age",
         "hid:i year:i YearMoved:i PanelAge:i pv:i",
-        lambda s, d: panel.spell_age(spells(s, d).filter("PanelYear is null or PanelYear != 2009"), 2009),
+        lambda s, d: panel.spell_age(spells(s, d), 2009),
         f"""SELECT hid, year, YearMoved, CASE WHEN PanelYear > 2009 THEN NULL WHEN year = 2009 THEN 2009 - PanelYear END AS PanelAge,
-            CASE WHEN PanelYear > 2009 THEN 0 ELSE pv END AS pv FROM ({SPELLS}) WHERE PanelYear IS NULL OR PanelYear != 2009""",
+            CASE WHEN PanelYear > 2009 THEN 0 ELSE pv END AS pv FROM ({SPELLS})""",
     ),
     Check(
         "period_change",

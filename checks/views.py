@@ -76,7 +76,7 @@ _cw = ", ".join(
     + ["CAST(1 AS DOUBLE) AS consum1f", "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS consum1_a"]
 )
 _ww = ", ".join(
-    f"CASE WHEN (c_custkey + syear + {k}) % 9 = 0 THEN CAST(-8 AS DOUBLE) ELSE abs(c_acctbal) * {factor} + {j} END AS {v}{i}"
+    f"CASE WHEN (3 * hid + syear + {k}) % 9 = 0 THEN CAST(-8 AS DOUBLE) ELSE balance * {factor} + {j} END AS {v}{i}"
     for k, (v, factor) in enumerate(FAMILIES.items())
     for j, i in enumerate("ab")
 )
@@ -100,11 +100,13 @@ VIEWS = {
         FROM {po}""",
     "cw": "SELECT CAST(floor(o_custkey / 3) AS BIGINT) AS hid, "
     + _cw
-    + " FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE year(o_orderdate) = 2000 GROUP BY 1",
-    "ww": "SELECT CAST(c_custkey / 3 AS BIGINT) AS hid, syear, "
+    + " FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1",
+    "cb": """SELECT CAST(floor(c_custkey / 3) AS BIGINT) AS hid, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS c_acctbal,
+        CAST(sum(CAST(abs(c_acctbal) AS DECIMAL(18,2))) AS DOUBLE) AS balance FROM {customer} GROUP BY 1""",
+    "ww": "SELECT hid, syear, "
     + _ww
-    + " FROM (SELECT c_custkey, c_acctbal, 2007 AS syear FROM {customer} UNION ALL SELECT c_custkey, c_acctbal, 2012 FROM {customer}"
-    " UNION ALL SELECT c_custkey, c_acctbal, 2017 FROM {customer}) AS c WHERE c_custkey % 3 = 0",
+    + " FROM (SELECT hid, balance, 2007 AS syear FROM {cb} UNION ALL SELECT hid, balance, 2012 FROM {cb}"
+    " UNION ALL SELECT hid, balance, 2017 FROM {cb}) AS c",
     "hw": """SELECT hid, year, income, age, education,
         2 * income + 1000 * age + 10 * c_acctbal AS GrossWealth, 4 * abs(c_acctbal) AS GrossDebts,
         2 * income + 1000 * age + 10 * c_acctbal - 4 * abs(c_acctbal) AS NetWealth,
@@ -113,7 +115,7 @@ VIEWS = {
         FROM (SELECT p.hid, p.year, CAST(sum(o.total) AS DOUBLE) * CAST(1.25 AS DOUBLE) / count(*) AS income,
             max(p.age) AS age, max(p.education) AS education
             FROM {py} AS p JOIN {po} AS o ON p.pid = o.pid AND p.year = o.year GROUP BY 1, 2) AS h
-        JOIN {customer} ON c_custkey = 3 * hid""",
+        LEFT JOIN {cb} AS b USING (hid)""",
     "hs": """SELECT c_custkey AS hid, 'base' AS run, CAST(2018 + c_custkey % 5 AS INT) AS year,
         20000 + 5 * abs(c_acctbal) AS income, CAST(0.05 AS DOUBLE) + CAST(0.01 AS DOUBLE) * (c_custkey % 10) AS incomesd,
         CAST(1500 + 100 * (c_custkey % 60) AS DOUBLE) AS powercons,

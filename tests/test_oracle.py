@@ -3,12 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
-from checks import views
+from checks import registry, views
 from checks.compare import connect, difference
 from checks.framework import Check, shape, sql
 
 SF = "/root/testdata/sf0.01"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 VIEW_COLUMNS = {
     "py": "pid:i hid:i year:i income:r4 GrossIncome:r4 age:i education:i Npersons:i sex:i head:i owner:i YearMoved:i pv:i "
     "garden:i elevator:i LodgeEnglish:s PowerCosts:i",
