@@ -8,6 +8,8 @@ split their skewed partitions.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def work_folder(spark: SparkSession) -> str:
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            # One machine, one process: its own temporary folder is shared by all tasks.
             base = tempfile.mkdtemp(prefix="hearthpanel-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         _roots[app] = f"{base.rstrip('/')}/hearthpanel-{app}"
     return _roots[app]
 
