@@ -101,11 +101,13 @@ class Parser:
         tables, self.starts, size = [], [], 0
         for _, text in texts:
             moves = suffix_automaton(self._codes(text).tolist())
-            root = np.full(width, size, np.int64)
+            # A letter the reference lacks is a phrase of its own: a state that every letter leaves.
+            begin = np.full(width, size + len(moves) * width, np.int64)
             for c, to in moves[0].items():
                 if c:
-                    root[c] = size + to * width
-            table = np.tile(root | _CUT, (len(moves), 1))
+                    begin[c] = size + to * width
+            table = np.tile(begin | _CUT, (len(moves) + 1, 1))
+            table[0] = begin
             for state, out in enumerate(moves):
                 for c, to in out.items():
                     if c:
