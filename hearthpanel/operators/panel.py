@@ -31,15 +31,19 @@ quantile_cut_groups = quantile_groups
 rank_position_groups = position_groups
 
 
-def fixed_bands(df: DataFrame, col: str, cuts: Sequence[float], name: str = "band", label: str | None = None) -> DataFrame:
+def fixed_bands(
+    df: DataFrame, col: str, cuts: Sequence[float], name: str = "band", label: str | None = None,
+    bounds: tuple[float, float] | None = None,
+) -> DataFrame:
     """1-based left-closed bands between given limits.
 
     The last band is closed at the top, where it reaches up to the largest value present; a value
     below the first limit opens band 0 from the smallest value. ``label`` names a column for the
-    text ``[lo,hi)``.
+    text ``[lo,hi)``. ``bounds`` are the smallest and largest value where the caller knows them; else
+    they are looked up, which reads the column once more.
     """
     limits = [float(c) for c in cuts]
-    bounds = df.agg(F.min(col), F.max(col)).first()
+    bounds = bounds or df.agg(F.min(col), F.max(col)).first()
     least, most = (limits[i] if b is None else float(b) for i, b in zip((0, -1), bounds))
     inner = limits if most > limits[-1] else limits[:-1]
     band = sum((F.when(F.col(col) >= c, 1).otherwise(0) for c in inner), F.lit(0))
