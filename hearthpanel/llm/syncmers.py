@@ -9,7 +9,8 @@ common ones among the smallest of both estimates how much two texts share.
 All of it is array functions on one row at a time. Texts too short for an anchor have one: all their
 words; null texts and texts without a word have an empty fingerprint, which is like an empty one (1)
 and unlike any other (0). Repeated rows count once in the order of documents and get equal results;
-null ids come first, equal ids are ordered by a hash of the text. The document after the last is the
+null ids come first (the smallest 64-bit integer stands for them and is no id), equal ids are ordered by a
+hash of the text. The document after the last is the
 first; a single document follows itself.
 """
 
@@ -55,14 +56,18 @@ def with_anchors(df: DataFrame, text: str = "text", to: str = "anchors") -> Data
     return rows.withColumn(to, either).drop("_words", "_pairs")
 
 
+def _short(hash64: Column) -> Column:
+    return F.shiftrightunsigned(hash64, 33).cast("int")
+
+
 def with_sketch(df: DataFrame, text: str, to: str) -> DataFrame:
-    """``df`` with the sorted array of the smallest anchor hashes (32 bits) of a text column."""
+    """``df`` with the sorted array of the smallest anchor hashes (31 bits) of a text column."""
     places = F.filter(F.sequence(F.lit(0), F.size("_words") - K), _at_edge)
-    found = F.when(F.size("_words") >= K, F.transform(places, lambda i: F.shiftrightunsigned(_anchor(i), 32)))
+    found = F.when(F.size("_words") >= K, F.transform(places, lambda i: _short(_anchor(i))))
     rows = _pairs(df, text).withColumn("_found", found)
-    whole = F.array(F.shiftrightunsigned(F.xxhash64("_words"), 32))
+    whole = F.array(_short(F.xxhash64("_words")))
     none = F.coalesce(F.size("_found"), F.lit(0)) <= 0
-    either = F.when(F.size("_words") == 0, F.array().cast("array<bigint>")).when(none, whole).otherwise(F.col("_found"))
+    either = F.when(F.size("_words") == 0, F.array().cast("array<int>")).when(none, whole).otherwise(F.col("_found"))
     least = F.slice(F.sort_array(F.array_distinct(either)), 1, SKETCH)
     return rows.withColumn(to, least).drop("_words", "_pairs", "_found")
 
@@ -81,7 +86,6 @@ def likeness(a: str, b: str) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").select(
-        "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
@@ -106,9 +110,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     document against its text with the second half taken from the next document, and against that one."""
     keyed = _keyed(docs)
     ring, repeated = neighbours(keyed)
-    # Texts are shuffled once; the next document's beginning comes to them.
-    rows = with_sketch(keyed, "text", "sketch").join(ring, ["id", "mark"])
-    heads = rows.select(
+    # Texts are shuffled once: both uses of ``rows`` need the same columns by the same keys, so they read
+    # the same exchange; the next document's beginning comes to them.
+    rows = with_sketch(keyed, "text", "sketch").select("id", "mark", "text", "sketch")
+    heads = rows.join(ring, ["id", "mark"]).select(
         F.col("to_id").alias("id"), F.col("to_mark").alias("mark"),
         F.expr("substring(text, 1, to_half)").alias("head"), F.col("sketch").alias("next_sketch"),
     )
@@ -116,8 +121,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         heads = heads.dropDuplicates(["id", "mark"])
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 2))"), "head")
-    both = rows.drop("to_id", "to_mark", "to_half").join(heads, ["id", "mark"])
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
+    both = rows.join(heads, ["id", "mark"])
+    both = both.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
     done = with_sketch(both, "edited", "edited_sketch")
     return done.select(
         "doc_id",
