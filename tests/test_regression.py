@@ -80,6 +80,8 @@ def test_no_rows(df):
         regression.ols_linear(df.limit(0), "GrossWealth", ["income"])
 
 
-def test_too_many_levels(df):
-    with pytest.raises(ValueError):
-        regression.ols_two_way_fe(df, "GrossWealth", ["income"], "hid", "year", max_levels=5)
+def test_any_number_of_levels(df):
+    """The effects may be given either way round, however many levels the first has."""
+    few, many = (regression.ols_two_way_fe(df, "GrossWealth", ["income"], *fe) for fe in (("year", "hid"), ("hid", "year")))
+    assert many.coef["income"] == pytest.approx(few.coef["income"], rel=1e-6)
+    assert len(many.year_effects) >= 60
