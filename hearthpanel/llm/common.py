@@ -12,6 +12,9 @@ from hearthpanel.workspace import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
+# A worker holds a batch of texts and its results; texts may be long.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -57,9 +60,12 @@ def with_ordinal(df: DataFrame, *order: Column) -> DataFrame:
     )
 
 
-def workers_find_package(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it. On a cluster whose
-    machines do not have that folder, ship the package with ``--py-files``."""
+def prepare_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, and hand them no more than
+    ``BATCH_ROWS`` documents at a time. On a cluster whose machines do not have that folder, ship the
+    package with ``--py-files``."""
+    if int(spark.conf.get(_BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     given = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in given.split(os.pathsep):

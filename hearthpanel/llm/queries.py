@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthpanel.llm import bpe, language, mixing, pii, quality, simhash, syncmers, token_counts, toxicity, urls
-from hearthpanel.llm.common import pick, workers_find_package
+from hearthpanel.llm.common import pick, prepare_workers
 
 BPE_FILE = "word_bpe_49k.json"
 PIECES_FILE = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return workers_find_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ FACTORS = 4
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 7)
 _TERM = re.compile(r"[^\W\d_]+")
-_CACHED = 1 << 18
+_CACHED = 1 << 17
 
 
 def buckets(word: str) -> list[int]:

@@ -1,6 +1,6 @@
 import pytest
 
-from hearthpanel.llm.common import workers_find_package
+from hearthpanel.llm.common import prepare_workers
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, bits string, key string, mark int, x int, found int, score string"
@@ -9,7 +9,7 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 @pytest.fixture(scope="session")
 def make_docs(spark):
     """Documents from (doc_id, text, lang, source); further columns have names the operators use inside."""
-    workers_find_package(spark)
+    prepare_workers(spark)
 
     def make(rows):
         full = [(i, t, lang, s, None if t is None else len(t), 1, "b", "k", 2, 3, 4, "s") for i, t, lang, s in rows]
@@ -32,4 +32,4 @@ def edge_rows():
 
 @pytest.fixture(scope="session")
 def sf_docs(spark):
-    return workers_find_package(spark).read.parquet(f"{SF}/documents.parquet")
+    return prepare_workers(spark).read.parquet(f"{SF}/documents.parquet")
