@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 # White space as Unicode defines it, spelled out because the regex libraries differ on \s.
 _SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BREAKS = regex.compile(f"[{_SPACES}]+")
-CACHED_WORDS = 1 << 17
+CACHED_WORDS = 1 << 16
 DECODED_AT_ONCE = 1 << 16
 _NO_RULE = 1 << 62
 

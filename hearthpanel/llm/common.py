@@ -13,7 +13,7 @@ from hearthpanel.workspace import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 # A worker holds a batch of texts and its results; texts may be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

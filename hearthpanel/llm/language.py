@@ -101,12 +101,14 @@ class Parser:
         tables, self.starts, size = [], [], 0
         for _, text in texts:
             moves = suffix_automaton(self._codes(text).tolist())
+            if size + (len(moves) + 1) * width >= _CUT:
+                raise ValueError("the references are too large for one table")
             # A letter the reference lacks is a phrase of its own: a state that every letter leaves.
-            begin = np.full(width, size + len(moves) * width, np.int64)
+            begin = np.full(width, size + len(moves) * width, np.int32)
             for c, to in moves[0].items():
                 if c:
                     begin[c] = size + to * width
-            table = np.tile(begin | _CUT, (len(moves) + 1, 1))
+            table = np.tile(begin | np.int32(_CUT), (len(moves) + 1, 1))
             table[0] = begin
             for state, out in enumerate(moves):
                 for c, to in out.items():
@@ -115,9 +117,7 @@ class Parser:
             tables.append(table.ravel())
             self.starts.append(size)
             size += table.size
-        if size >= _CUT:
-            raise ValueError("the references are too large for one table")
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.weight = np.array([np.log2(len(text) + 2) for _, text in texts])
 
     def _codes(self, text: str) -> np.ndarray:
@@ -170,7 +170,7 @@ _CUT_BIT = 30
 _CUT = 1 << _CUT_BIT
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(texts: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(texts)
 
@@ -185,7 +185,8 @@ def identified(text: Column, texts: dict[str, str]) -> Column:
         names, scores = [f[0] for f in found], [f[1] for f in found]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return run(text)
+    # Else a filter on the result would be evaluated before it, and the texts parsed twice.
+    return run.asNondeterministic()(text)
 
 
 def learned(doc_id: Column) -> Column:

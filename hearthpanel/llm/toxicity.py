@@ -116,7 +116,7 @@ class Scorer:
         return float(_sigmoid(np.float64(total)))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def scorer(model: Model) -> Scorer:
     return Scorer(model)
 
