@@ -12,8 +12,8 @@ source and distance bin with sums of products, so no group is ever gathered or s
 documents are whole bins. Vectors are rounded to 1/256, which makes all sums exact and reruns equal.
 
 Every statistic has a least spread (``LEAST_SPREAD``): where most texts of a group agree exactly, small
-departures are no outliers. Groups of fewer than ``LEAST_ROWS`` documents have no estimate and reject
-nobody. Null texts count as empty, null languages and sources are groups of their own, repeated rows get
+departures are no outliers. Groups of fewer than ``LEAST_ROWS`` documents are judged by the estimate of
+their language over all sources or, if that has too few as well, of all documents. Null texts count as empty, null languages and sources are groups of their own, repeated rows get
 equal results, an empty table gives an empty result.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthpanel.llm.common import SPACE, WORD, pick
-from hearthpanel.operators.keyed import attach
+from hearthpanel.operators.keyed import attach, null_safe_join
 from hearthpanel.workspace import materialize
 
 WINDOW = 5
@@ -185,9 +185,9 @@ def _moments(rows: DataFrame, keys: list[str], widen: float) -> DataFrame:
     return whole.select(*keys, "n", F.array(*mean).alias("mean"), F.array(*spread).alias("spread"))
 
 
-def estimate(vectors: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
+def estimate(vectors: DataFrame, keys: list[str], steps: int = STEPS, least: int = LEAST_ROWS) -> DataFrame:
     """keys, n, mean and spread (lower triangle) per group with enough rows; ``vectors`` hold array ``x``."""
-    groups = materialize(_start(vectors, keys).filter(F.col("n") >= LEAST_ROWS), "groups")
+    groups = materialize(_start(vectors, keys).filter(F.col("n") >= least), "groups")
     limit = chi_square_quantile(SHARE, _P)
     # A normal distribution cut at its share is narrower than the whole one.
     widen = SHARE / chi_square(limit, _P + 2)
@@ -198,16 +198,44 @@ def estimate(vectors: DataFrame, keys: list[str], steps: int = STEPS) -> DataFra
     return groups
 
 
+def estimates(judged: DataFrame) -> DataFrame:
+    """lang, source, n (rows), mean and spread of every group of ``judged``: the estimate of the group, of its
+    language or of all documents, the first with enough documents that pass the base rule. That of all
+    documents takes any number: the least spreads keep it from being singular."""
+    keys = ["lang", "source"]
+    sizes = judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("base_failed")).alias("passed"))
+    sizes = materialize(sizes, "sizes")
+    vectors = materialize(judged.filter(~F.col("base_failed")).select(*keys, "x"), "vectors")
+    groups = null_safe_join(sizes, estimate(vectors, keys).select(*keys, "mean", "spread"), keys)
+    few = F.bool_or(F.col("passed") < LEAST_ROWS).alias("few")
+    langs = materialize(sizes.groupBy("lang").agg(F.sum("passed").alias("passed"), few).filter("few"), "langs")
+    enough = F.col("passed") >= LEAST_ROWS
+    if not langs.filter(enough).isEmpty():
+        some = null_safe_join(vectors, langs.filter(enough).select("lang"), ["lang"], "left_semi")
+        wide = estimate(some.select("lang", "x"), ["lang"])
+        groups = _filled(null_safe_join(groups, wide.select("lang", F.col("mean").alias("_mean"), F.col("spread").alias("_spread")), ["lang"]))
+    if not langs.filter(~enough).isEmpty():
+        every = materialize(vectors.select(F.lit("").alias("lang"), "x"), "vectors")
+        whole = estimate(every, ["lang"], least=1).first()
+        if whole:
+            number = lambda xs: F.array(*map(F.lit, xs))
+            groups = _filled(groups.withColumns({"_mean": number(whole["mean"]), "_spread": number(whole.spread)}))
+    return groups.drop("passed")
+
+
+def _filled(groups: DataFrame) -> DataFrame:
+    """Groups without an estimate take the one in ``_mean`` and ``_spread``."""
+    return groups.withColumns({c: F.coalesce(c, f"_{c}") for c in ("mean", "spread")}).drop("_mean", "_spread")
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, distance and kept of every document."""
     rows = materialize(counted(pick(docs, "doc_id", "text", "lang", "source")).withColumn("base_failed", failed()), "counts")
-    keys = ["lang", "source"]
     judged = rows.withColumn("x", F.array(*_vector()))
-    passed = judged.filter(~F.col("base_failed")).select(*keys, "x")
-    groups = estimate(materialize(passed, "vectors"), keys)
-    done = _with_distance(judged, groups, keys)
+    done = _with_distance(judged, estimates(judged), ["lang", "source"])
     cutoff = chi_square_quantile(CUTOFF, _P)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
+    # Without an estimate no document passed the base rule.
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(False))
     return done.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         kept.alias("kept"), F.sqrt("d2").alias("distance"),

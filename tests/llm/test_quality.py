@@ -94,3 +94,20 @@ def test_edges(make_docs, edge_rows):
     assert sorted((*counts_of(r), str(r.doc_id)) for r in got) == want
     assert all(r.kept != r.base_failed for r in got)  # groups too small for an estimate
     assert quality.quality(make_docs([])).count() == 0
+
+
+def test_small_groups_are_judged(spark, make_docs):
+    rows = queries.op9_quality(spark, SF).collect()
+    assert any(not r.kept and not r.base_failed for r in rows)  # the largest group has 38 documents
+    assert all(r.distance is not None for r in rows)
+    words = [f"wo{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    text = lambda i, n: " ".join(words[(i * 37 + j * (i % 11 + 1)) % 499] for j in range(n))
+    junk = "$$$ ### " + " ".join(w + "***" for w in text(3, 70).split())
+    clean = [(i, text(i, 60 + i % 90), "en", f"s{i % 6}") for i in range(150)]
+    few = [(200 + i, text(i, 60 + i % 90), "de", "s0") for i in range(9)]
+    outliers = [(900, junk, "en", "s1"), (901, junk, "de", "s0"), (902, junk, None, None)]
+    got = {r.doc_id: r for r in quality.quality(make_docs(clean + few + outliers)).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {900, 901, 902}
+    assert not any(r.base_failed for r in got.values())
+    alone = quality.quality(make_docs(few + outliers[1:2])).collect()
+    assert {r.doc_id for r in alone if not r.kept} == {901}
