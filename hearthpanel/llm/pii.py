@@ -94,7 +94,8 @@ NUMBER = re.compile(
     r")(?![\w@]|[./-]\w)",
     re.ASCII,
 )
-_MAY_HOLD = re.compile(r"\d[\d ().-]{6}|[A-Z]{2}\d\d", re.ASCII)
+# What any form but the last holds: seven characters out of digits and the separators of all forms.
+_MAY_HOLD = re.compile(r"\d[\d ()./-]{6}|[A-Z]{2}\d\d", re.ASCII)
 
 
 class Pseudonyms:
@@ -128,27 +129,36 @@ class Pseudonyms:
 
     def _date(self, text: str) -> str | None:
         if "-" in text:
-            sep, (y, m, d) = "-", text.split("-")
-        else:
-            sep = "." if "." in text else "/"
-            d, m, y = text.split(sep) if text.count(sep) == 2 else ("0", "0", "0")
+            return self._dated(text, "-", "ymd")
+        sep = "." if "." in text else "/"
+        if text.count(sep) != 2:
+            return None
+        # Month before day only where it cannot be day before month; such dates land on such dates.
+        return self._dated(text, sep, "dmy") or self._dated(text, sep, "mdy")
+
+    def _dated(self, text: str, sep: str, order: str) -> str | None:
+        given = dict(zip(order, text.split(sep)))
         try:
-            day = datetime.date(int(y), int(m), int(d)).toordinal()
+            day = datetime.date(int(given["y"]), int(given["m"]), int(given["d"])).toordinal()
         except ValueError:
             return None
         if not _FIRST_DAY <= day <= _LAST_DAY:
             return None
         # One digit or two for day and month: a format of its own.
-        wide = len(d), len(m)
+        wide = len(given["d"]), len(given["m"])
 
-        def parts(x: int) -> tuple[str, str, str]:
+        def parts(x: int) -> dict[str, str]:
             new = datetime.date.fromordinal(_FIRST_DAY + x)
-            return str(new.day).zfill(wide[0]), str(new.month).zfill(wide[1]), str(new.year)
+            return {"d": str(new.day).zfill(wide[0]), "m": str(new.month).zfill(wide[1]), "y": str(new.year)}
+
+        def fits(x: int) -> bool:
+            new = parts(x)
+            return (len(new["d"]), len(new["m"])) == wide and (order != "mdy" or int(new["d"]) > 12)
 
-        fits = lambda x: tuple(map(len, parts(x)[:2])) == wide
-        x = self.feistel.permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, f"date:{sep}{wide}".encode(), fits)
+        tweak = f"date:{sep}{wide}" + ("mdy" if order == "mdy" else "")
+        x = self.feistel.permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, tweak.encode(), fits)
         new = parts(x)
-        return sep.join(reversed(new) if sep == "-" else new)
+        return sep.join(new[k] for k in order)
 
     def _ip(self, text: str) -> str | None:
         octets = text.split(".")

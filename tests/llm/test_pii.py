@@ -92,3 +92,31 @@ def test_query_leaves_no_value(spark):
         assert after[i].n_values == len(old) and (old or after[i].text == text)
         assert values.sub("#", text) == values.sub("#", after[i].text)
     assert found > 20
+
+
+@pytest.mark.parametrize(
+    "value",
+    [
+        "(017) 555-7713", "(017)555 7713", "+1222222", "+49 30 1234 5678", "017.555.7713", "078-05-1120", "1984-02-29", "31/12/2024",
+        "1/2/2024", "1.2.2024", "12/31/2024", "2/13/2024", "1.2.3.4", "4111-1111-1111-1111", "4222222222222", "NO9386011117947",
+        "GB82 WEST 1234 5698 7654 32", "a.1@b.de",
+    ],
+)
+def test_every_form_alone_in_a_document(value):
+    for text in ("Born on {} in Rome.", "{}"):
+        new, n = P.text(text.format(value))
+        assert n == 1 and new != text.format(value)
+    both, n = P.text(f"{value} and 97.51.17.173")
+    assert n == 2 and both.startswith(new)
+
+
+def test_dates_with_the_month_first_are_permuted_among_themselves():
+    days = [datetime.date.fromordinal(pii._FIRST_DAY + i) for i in range(0, 73049, 31)]
+    old = [f"{d.month}/{d.day}/{d.year}" for d in days]
+    new = [P.value("dmy", t) for t in old]
+    assert len(set(new)) == len(set(old))
+    for a, b in zip(old, new):
+        assert [len(x) for x in a.split("/")] == [len(x) for x in b.split("/")]
+        if int(a.split("/")[1]) > 12:
+            datetime.datetime.strptime(b, "%m/%d/%Y")
+            assert int(b.split("/")[1]) > 12
