@@ -6,8 +6,9 @@ split before: a Viterbi search finds the most likely words under a unigram model
 pages' texts and in the separated parts of all urls; letters in no known word are split off as runs with
 a cost per letter.
 
-The models are bounded: ``VOCABULARY`` most frequent words and ``BUCKETS`` hashed words per class.
-Counting covers all pages. Urls that are null or have no ``://`` have empty host and path and no words,
+Words count from ``LEAST_COUNT`` occurrences on, in a written table of any size; each distinct run of letters
+gets those of its pieces that are words by a join. The model is bounded: ``BUCKETS`` hashed words per
+class. Counting covers all pages. Urls that are null or have no ``://`` have empty host and path and no words,
 so the classes' shares decide; ties allow; without decided urls all others are allowed. Repeated rows
 count as often as they occur and get equal results.
 """
@@ -15,9 +16,8 @@ count as often as they occur and get equal results.
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,20 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthpanel.llm.common import pick
+from hearthpanel.operators.keyed import attach, null_safe_join
 from hearthpanel.workspace import materialize
 
 ALLOW, BLOCK = "allow", "block"
 RULES = (
     (ALLOW, "org/"), (BLOCK, "example.org/es/"), (BLOCK, "example.org/en/1"), (ALLOW, "com/fr/"), (BLOCK, "com/de/"),
 )
-VOCABULARY = 50_000
 LEAST_COUNT = 3
 LONGEST_WORD = 24
 BUCKETS = 1 << 18
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_PART = re.compile(r"[a-z]+|[0-9]+")
+_PART = "[a-z]+|[0-9]+"
 _NUMBER = "0"
-_CACHED = 1 << 17
 
 
 def host_of(url: Column) -> Column:
@@ -62,21 +61,15 @@ def decided(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 class Segmenter:
     """Splits runs of letters into the most likely words."""
 
-    def __init__(self, counts: tuple[tuple[str, int], ...]):
-        total = sum(n for _, n in counts) + 1
+    def __init__(self, counts: Iterable[tuple[str, int]], total: int | None = None):
+        """``counts`` of the words that may occur; ``total`` of all words, if there are more."""
+        counts = list(counts)
+        total = sum(n for _, n in counts) + 1 if total is None else total
         self.cost = {w: math.log(total / n) for w, n in counts}
         # An unknown letter costs more than the rarest word, so known words are used where they fit.
         self.unknown = math.log(total) + 2.0
-        self.known: dict[str, tuple[str, ...]] = {}
 
     def split(self, name: str) -> tuple[str, ...]:
-        if name not in self.known:
-            if len(self.known) >= _CACHED:
-                self.known.clear()
-            self.known[name] = self._split(name)
-        return self.known[name]
-
-    def _split(self, name: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             cost, begin = best[end - 1] + self.unknown, end - 1
@@ -100,39 +93,55 @@ class Segmenter:
             loose = not is_known
         return tuple(out)
 
-    def words(self, host: str, path: str) -> list[str]:
-        """Words of host and path; those of the path are marked, numbers are all one."""
-        found = []
-        for mark, text in (("", host), ("/", path.lower())):
-            for part in _PART.findall(text):
-                found += [mark + w for w in ((_NUMBER,) if part.isdigit() else self.split(part))]
-        return found
-
-
-@lru_cache(maxsize=2)
-def segmenter(counts: tuple[tuple[str, int], ...]) -> Segmenter:
-    return Segmenter(counts)
-
 
-def word_counts(urls: DataFrame, html: Column) -> tuple[tuple[str, int], ...]:
-    """The most frequent words of the texts between tags and of the parts of all urls."""
+def word_counts(urls: DataFrame, html: Column) -> DataFrame:
+    """word and n of the words of the texts between tags and of the parts of all urls."""
     plain = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     both = F.lower(F.concat_ws(" ", plain, F.col("host"), F.col("path")))
     each = urls.select(F.explode(F.regexp_extract_all(both, F.lit("[a-z]+"), 0)).alias("word"))
     counts = each.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return tuple((r.word, r.n) for r in rows)
-
-
-def segmented(host: Column, path: Column, counts: tuple[tuple[str, int], ...]) -> Column:
-    """Words of host and path as an array."""
+    return materialize(counts.filter(F.col("n") >= LEAST_COUNT), "words")
+
+
+def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """``names`` (distinct runs of letters in ``name``) with their most likely words as ``words``."""
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + 1
+    # Long names are not repeated for each of their pieces.
+    key = F.when(F.length("name") > 32, F.concat(F.lit("#"), F.md5("name"))).otherwise(F.col("name"))
+    names = names.withColumn("key", key)
+    ends = lambda i: F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - i + 1))
+    at = lambda i: F.transform(ends(i), lambda k: F.substr("name", i, k))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), at))
+    pieces = names.select("key", F.explode(F.array_distinct(every)).alias("word"))
+    known = null_safe_join(pieces.groupBy("word").agg(F.count(F.lit(1)).alias("rows")), counts, ["word"], "inner")
+    found = attach(pieces, known, ["word"], "rows").filter("n is not null")
+    found = found.groupBy("key").agg(F.collect_list("word").alias("found"), F.collect_list("n").alias("ns"))
 
     @F.arrow_udf("array<string>")
-    def run(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        words = segmenter(counts).words
-        return pa.array([words(h, p) for h, p in zip(hosts.to_pylist(), paths.to_pylist())], pa.list_(pa.string()))
-
-    return run(host, path)
+    def run(names: pa.Array, found: pa.Array, ns: pa.Array) -> pa.Array:
+        rows = zip(names.to_pylist(), found.to_pylist(), ns.to_pylist())
+        return pa.array([Segmenter(zip(f or [], n or []), total).split(t) for t, f, n in rows], pa.list_(pa.string()))
+
+    done = null_safe_join(names, found, ["key"]).withColumn("words", run("name", "found", "ns"))
+    return done.drop("key", "found", "ns")
+
+
+def segmented(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """``urls`` with the words of host and path in order; those of the path are marked, numbers are all one."""
+    pairs = materialize(urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows")), "pairs")
+    of = lambda text, mark: F.transform(
+        F.regexp_extract_all(text, F.lit(_PART), 0), lambda x: F.struct(F.lit(mark).alias("mark"), x.alias("name"))
+    )
+    parts = F.concat(of(F.col("host"), ""), of(F.lower("path"), "/"))
+    each = pairs.select("host", "path", F.posexplode(parts).alias("place", "part")).select("host", "path", "place", "part.*")
+    names = each.filter("name >= 'a'").groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+    split = split_names(materialize(names, "names"), counts)
+    one = attach(each, split, ["name"], "rows").drop("rows")
+    marked = F.transform(F.coalesce("words", F.array(F.lit(_NUMBER))), lambda w: F.concat("mark", w))
+    whole = one.groupBy("host", "path").agg(F.sort_array(F.collect_list(F.struct("place", marked.alias("w")))).alias("parts"))
+    words = F.coalesce(F.flatten(F.transform("parts", lambda p: p.w)), F.array().cast("array<string>"))
+    done = null_safe_join(pairs, whole, ["host", "path"]).select("host", "path", "rows", words.alias("words"))
+    return attach(urls, done, ["host", "path"], "rows").drop("rows")
 
 
 def bucket(word: str) -> int:
@@ -162,7 +171,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> D
     counts = word_counts(urls, F.col("html"))
     rule, verdict = decided(F.col("host"), F.col("path"), rules)
     urls = urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("decided"))
-    urls = materialize(urls.withColumn("words", segmented(F.col("host"), F.col("path"), counts)), "urls")
+    urls = materialize(segmented(materialize(urls, "urls"), counts), "urls")
     hashed = F.transform("words", lambda w: F.pmod(F.crc32(w), F.lit(BUCKETS)))
     known = urls.filter("decided is not null")
     shares = {r.decided: r.n for r in known.groupBy("decided").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -87,3 +87,27 @@ def test_query(spark):
             assert r.verdict == found[0]
     again = queries.op10_urls(spark, SF).collect()
     assert sorted(again) == sorted(rows)
+
+
+def test_every_word_counts(spark):
+    letters = "abcdefghij"
+    frequent = ["".join(letters[int(d)] for d in f"{i:05}") for i in range(50_001)]
+    html = "<p>" + " ".join(frequent * 4 + ["zebra", "quilt"] * 3) + "</p>"
+    rows = [(1, "http://zebraquilt.net/Quilt7zebra", html), (1, "http://zebraquilt.net/Quilt7zebra", None), (2, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.words for r in urls.filter_urls(pages).collect()}
+    assert got == {1: ["zebra", "quilt", "net", "/quilt", "/0", "/zebra"], 2: []}
+
+
+def test_words_by_join_are_those_of_one_segmenter(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    located = pages.withColumns({"host": urls.host_of(pages.url), "path": urls.path_of(pages.url)})
+    one = urls.Segmenter([tuple(r) for r in urls.word_counts(located, located.html).collect()])
+    rows = urls.filter_urls(pages).collect()
+    assert rows
+    for r in rows:
+        want = []
+        for mark, text in (("", r.host), ("/", r.path.lower())):
+            for part in re.findall("[a-z]+|[0-9]+", text):
+                want += [mark + w for w in (("0",) if part.isdigit() else one.split(part))]
+        assert r.words == want
