@@ -9,8 +9,8 @@ missing and the next begins with that letter (case, kinds of space and digits do
 table, and a batch of texts walks all tables at once, one letter of every text per step. Texts are cut
 into blocks of ``BLOCK`` letters at which a phrase ends too; all blocks of a text count.
 
-References are bounded: ``DOCS_PER_LANGUAGE`` labelled documents by seeded hash, ``DOC_CHARS`` letters
-of each. The labels are assumed to be few (names of languages). Null texts, texts without a letter, and
+References are bounded: ``DOCS_PER_LANGUAGE`` different labelled texts by seeded hash, ``DOC_CHARS`` letters
+of each from ``PIECES`` seeded places, one in each part of the text. The labels are assumed to be few (names of languages). Null texts, texts without a letter, and
 all texts if nothing was learned, are ``und`` with score 0. Equal rows get equal results.
 """
 
@@ -31,24 +31,36 @@ UNKNOWN = "und"
 BLOCK = 4096
 DOCS_PER_LANGUAGE = 48
 DOC_CHARS = 400
+PIECES = 5
 ALPHABET = 120
 _SPAN = 1 << 62
 _DIGIT, _SPACE = re.compile("[0-9]"), re.compile("[ \\t\\n\\r\\v\\f\\xa0]")
 
 
+def _sample(place: Column) -> Column:
+    """Letters of ``dense`` from a seeded place in each of ``PIECES`` equal parts; a short text whole."""
+    size = DOC_CHARS // PIECES
+    part = F.floor(F.length("dense") / PIECES)
+    within = lambda k: F.pmod(F.xxhash64(place, F.lit(k)), F.greatest(part - size + 1, F.lit(1)))
+    pieces = [F.substr("dense", (part * k + within(k) + 1).cast("int"), F.lit(size)) for k in range(PIECES)]
+    return F.when(F.length("dense") <= DOC_CHARS, F.col("dense")).otherwise(F.concat_ws("\n", *pieces))
+
+
 def references(docs: DataFrame, learn: Column) -> dict[str, str]:
     """Reference text per language from rows for which ``learn`` holds (over doc_id, text, lang)."""
-    known = pick(docs, "doc_id", "text", "lang").filter(learn & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
+    known = pick(docs, "doc_id", "text", "lang").filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    place = F.xxhash64("text")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(place).alias("texts")).collect()
     if not counts:
         return {}
-    # Some four times as many as needed pass by hash; equal rows count once.
-    part = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 4 * DOCS_PER_LANGUAGE / r.rows))])
-    place = F.xxhash64("doc_id", "text")
+    # Some four times as many as needed pass by hash; equal texts count once.
+    part = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 4 * DOCS_PER_LANGUAGE / r.texts))])
     passed = known.filter(place.bitwiseAND(F.lit(_SPAN - 1)) < part[F.col("lang")] * F.lit(float(_SPAN)))
-    some = passed.groupBy("lang", place.alias("place")).agg(F.min(F.substring("text", 1, DOC_CHARS)).alias("text"))
+    # Long runs without a letter, as in tables, would take the places of letters.
+    dense = passed.select("lang", place.alias("place"), F.regexp_replace("text", r"\P{L}{9,}", " ").alias("dense"))
+    some = dense.groupBy("lang", "place").agg(F.min(_sample(F.col("place"))).alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    rows = some.filter("text rlike '\\\\p{L}'").withColumn("n", first).filter(F.col("n") <= DOCS_PER_LANGUAGE).collect()
+    rows = some.withColumn("n", first).filter(F.col("n") <= DOCS_PER_LANGUAGE).collect()
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in rows:
         texts.setdefault(r.lang, []).append((r.n, r.text))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearthpanel.llm import language, queries
 
@@ -61,3 +62,22 @@ def test_edges(make_docs, edge_rows):
     assert kept.count() == sum(r.lang_pred != "und" for r in got)
     assert {r.lang_pred for r in language.identify(make_docs([(1, "abc", None, None)])).collect()} == {"und"}
     assert language.identify(make_docs([])).count() == 0
+
+
+def test_references_come_from_whole_different_texts(make_docs):
+    rng = random.Random(3)
+    vocabularies = {k: ["".join(rng.choice(v) for _ in range(5)) for _ in range(40)] for k, v in {"aa": "abcde", "bb": "efghi"}.items()}
+    licence = "this text may be copied by all who keep this notice " * 10
+    table = "12 | 34 | " * 60
+    body = lambda lang: " ".join(rng.choice(vocabularies[lang]) for _ in range(100))
+    rows = [(i, licence + body("aa"), "aa", "s") for i in range(40)]
+    rows += [(100 + i, table + body("bb"), "bb", "s") for i in range(40)]
+    copy = "zzzz " + body("bb")[:300]  # short enough to be taken whole
+    docs = make_docs(rows + [(1000 + i, copy, "bb", "s") for i in range(400)])
+    texts = language.references(docs, language.learned(F.col("doc_id")))
+    assert texts.keys() == {"aa", "bb"}
+    assert sum(w in texts["aa"] for w in vocabularies["aa"]) > 30
+    assert texts["bb"].count("zzzz") == 1 and sum(w in texts["bb"] for w in vocabularies["bb"]) > 30
+    asked = {i: ("aa", "bb")[i % 2] for i in range(20)}
+    found = language.Parser(tuple(texts.items())).best([body(lang) for lang in asked.values()])
+    assert [f[0] for f in found] == list(asked.values())
