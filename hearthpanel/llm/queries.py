@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL where SQL can express them."""
+"""The registered queries of the operators, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthpanel.llm import bpe, language, mixing, pii, quality, simhash, syncmers, token_counts, toxicity, urls
+from hearthpanel.llm import (
+    bpe, conversations, language, mixing, pii, quality, simhash, syncmers, token_counts, toxicity, urls,
+)
 from hearthpanel.llm.common import pick, prepare_workers
 
 BPE_FILE = "word_bpe_49k.json"
@@ -66,11 +68,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages")).drop("words", "score")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_bpe, op3_token_counts, op4_toxicity, op5_language, op6_simhash, op7_pii, op8_syncmers,
-        op9_quality, op10_urls,
+        op9_quality, op10_urls, op12_conversations,
     )
 }
 
