@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthpanel.llm import (
-    bpe, conversations, language, mixing, pii, quality, simhash, syncmers, token_counts, toxicity, urls,
+    bpe, conversations, language, mixing, pii, quality, simhash, syncmers, token_counts, toxicity, urls, variants,
 )
 from hearthpanel.llm.common import pick, prepare_workers
 
@@ -68,6 +68,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages")).drop("words", "score")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
 
@@ -76,7 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_bpe, op3_token_counts, op4_toxicity, op5_language, op6_simhash, op7_pii, op8_syncmers,
-        op9_quality, op10_urls, op12_conversations,
+        op9_quality, op10_urls, op11_variants, op12_conversations,
     )
 }
 
@@ -126,5 +130,44 @@ SELECT d.doc_id, d.size, s.source_size, s.target, (d.size * (s.whole + c.more::B
 FROM sized d
 JOIN fractions s ON d.source IS NOT DISTINCT FROM s.source
 JOIN chosen{mixing.FILL_PASSES} c
-  ON d.source IS NOT DISTINCT FROM c.source AND d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.size = c.size"""
+  ON d.source IS NOT DISTINCT FROM c.source AND d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.size = c.size""",
+    # crc32 byte by byte; near words share a word, or a word with one letter less, as one of their deletions.
+    "op11_variants": """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+    FROM range(256) r(i))),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(
+    unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+per_doc AS (SELECT id, run, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY id, run),
+hashed AS (
+  SELECT run, c, xor(list_reduce(
+    flatten(list_transform(string_split(id || ':' || run, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM per_doc, crc_table),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word,
+    sum(c)::BIGINT AS n
+  FROM hashed GROUP BY 1),
+vocabulary AS (SELECT word, n FROM words WHERE length(word) >= 5 AND n >= 3),
+cuts AS (
+  SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+near AS (
+  SELECT DISTINCT a.word AS word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cuts c JOIN vocabulary v ON c.rest = v.word
+  UNION SELECT v.word, c.word, c.n FROM cuts c JOIN vocabulary v ON c.rest = v.word),
+best AS (
+  SELECT word, count(*) AS n_near, min(struct_pack(m := -m, o := encode(other))) AS b FROM near GROUP BY word),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 2 * v.n THEN decode(b.o) END AS form,
+    CASE WHEN -b.m >= 2 * v.n THEN -b.m END AS form_n
+  FROM vocabulary v LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, coalesce(form, word) AS at, form IS NULL AS last FROM formed
+  UNION ALL SELECT c.word, coalesce(f.form, c.at), f.form IS NULL FROM chain c JOIN formed f ON c.at = f.word WHERE NOT c.last)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON f.word = c.word AND c.last""",
 }
