@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthpanel.llm import (
-    bpe, conversations, language, mixing, pii, quality, simhash, syncmers, token_counts, toxicity, urls, variants,
+    bpe, conversations, language, mixing, pii, quality, simhash, syncmers, token_counts, toxicity, urls, variants, vectors,
 )
 from hearthpanel.llm.common import pick, prepare_workers
 
@@ -76,11 +76,16 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
 
 
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_bpe, op3_token_counts, op4_toxicity, op5_language, op6_simhash, op7_pii, op8_syncmers,
         op9_quality, op10_urls, op11_variants, op12_conversations,
+        op13_vectors,
     )
 }
 
@@ -170,4 +175,18 @@ chain AS (
   SELECT word, coalesce(form, word) AS at, form IS NULL AS last FROM formed
   UNION ALL SELECT c.word, coalesce(f.form, c.at), f.form IS NULL FROM chain c JOIN formed f ON c.at = f.word WHERE NOT c.last)
 SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON f.word = c.word AND c.last""",
+    "op13_vectors": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+able AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.r, b.r AS other, b.vec_id FROM able a JOIN able b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT r, r AS other FROM v UNION SELECT c.r, p.other FROM reach c JOIN pairs p ON c.other = p.r),
+counts AS (SELECT r, count(*) AS n FROM pairs GROUP BY r),
+least AS (SELECT c.r, min(v.vec_id) AS component_id FROM reach c JOIN v ON c.other = v.r GROUP BY c.r)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least USING (r) LEFT JOIN counts USING (r)""",
 }
