@@ -313,9 +313,35 @@ AGGREGATE_CHECKS = [
             for i, y in [(1, "GrossWealth"), (2, "NetWealth")]
         ),
     ),
+    Check(
+        "ols_clustered_errors",
+        "spec:i term:s estimate:r4 std_error:r4",
+        lambda s, d: regression.ols_coef_table(
+            view(s, d, "hw"),
+            [
+                regression.ols_fixed_effect(view(s, d, "hw"), "GrossWealth", ["income", "age"], "year", cluster="year"),
+                regression.ols_fixed_effect(view(s, d, "hw"), "GrossWealth", ["income", "age"], "year", cluster="hid"),
+            ],
+        ),
+        f"""WITH d AS (SELECT hid, year, GrossWealth - avg(GrossWealth) OVER w AS y, income - avg(income) OVER w AS a, age - avg(age) OVER w AS b
+            FROM hw WHERE GrossWealth IS NOT NULL AND income IS NOT NULL AND age IS NOT NULL WINDOW w AS (PARTITION BY year)),
+        o AS ({OLS.format(sums=OLS_SUMS + " FROM d")}),
+        e AS (SELECT d.*, y - ba * a - bb * b AS e FROM d, o),
+        scores AS (
+            SELECT 1 AS spec, year AS g, sum(a * e) AS ga, sum(b * e) AS gb FROM e GROUP BY year
+            UNION ALL SELECT 2, hid, sum(a * e), sum(b * e) FROM e GROUP BY hid),
+        meat AS (SELECT spec, count(*) AS g, sum(ga * ga) AS aa, sum(ga * gb) AS ab, sum(gb * gb) AS bb FROM scores GROUP BY spec),
+        v AS (SELECT spec, o.ba, o.bb, saa * sbb - sab * sab AS det,
+            g / (g - 1.0) * (n - 1.0) / (n - 2 - CASE spec WHEN 1 THEN 1 ELSE (SELECT count(DISTINCT year) FROM d) END) AS factor,
+            sbb * sbb * m.aa - 2 * sbb * sab * m.ab + sab * sab * m.bb AS va, sab * sab * m.aa - 2 * sab * saa * m.ab + saa * saa * m.bb AS vb
+            FROM meat AS m, o)
+        SELECT spec, t AS term, CASE t WHEN 'income' THEN ba ELSE bb END AS estimate,
+            sqrt(CASE t WHEN 'income' THEN va ELSE vb END * factor) / det AS std_error
+        FROM v, (SELECT unnest(['income', 'age']) AS t)""",
+    ),
     Check(
         "ols_fitted",
-        "hid:i year:i Model1:r2 Model2:r2",
+        "hid:i year:i Model1:r1 Model2:r1",
         lambda s, d: regression.ols_fitted(
             view(s, d, "hw"),
             [wealth_fit(s, d), regression.ols_fixed_effect(view(s, d, "hw"), "GrossWealth", ["income", "age"], "year")],

@@ -34,12 +34,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(marked, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], rows: str | None = None) -> DataFrame:
+def attach(
+    df: DataFrame, stats: DataFrame, keys: Sequence[str], rows: str | None = None, written: bool = False
+) -> DataFrame:
     """Left join of ``stats`` (one row per key) to the rows of ``df``.
 
-    ``rows`` names the column of ``stats`` with the number of rows of a key, if there is one.
+    ``rows`` names the column of ``stats`` with the number of rows of a key, if there is one; ``written``
+    says that ``stats`` is a written table already.
     """
-    stats = materialize(stats, "stats")
+    if not written:
+        stats = materialize(stats, "stats")
     if rows is not None:
         total, most = stats.agg(F.sum(rows), F.max(rows)).first()
         limit = max(HOT_ROWS, (total or 0) * HOT_SHARE)

@@ -211,14 +211,15 @@ def job_income_brackets(panel_rows: DataFrame, year: int, cuts: Sequence[float],
 
 
 def wealth_fits(df: DataFrame, y: str = "GrossWealth") -> list[Fit]:
-    """Linear, quadratic, with education, with year effects, with year and household effects."""
+    """Linear, quadratic, with education, with year effects, with year and household effects; the errors of
+    the last two are clustered by year, the first absorbed effect."""
     xs, squares = ["income", "age"], ["income", "age"]
     return [
         regression.ols_linear(df, y, xs),
         regression.ols_quadratic(df, y, xs, squares),
         regression.ols_controls(df, y, xs, ["education"], squares),
-        regression.ols_fixed_effect(df, y, [*xs, "education"], "year", squares),
-        regression.ols_two_way_fe(df, y, [*xs, "education"], "year", "hid", squares),
+        regression.ols_fixed_effect(df, y, [*xs, "education"], "year", squares, "year"),
+        regression.ols_two_way_fe(df, y, [*xs, "education"], "year", "hid", squares, "year"),
     ]
 
 
