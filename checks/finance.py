@@ -46,6 +46,11 @@ def observed(s, d):
 
 
 def fitted(s, d):
+    return series.ar1_fit(prices(s, d), ["series"], "t", "price")
+
+
+def fitted_before(s, d):
+    """The fit of what was observed up to the cut."""
     return series.ar1_fit(observed(s, d), ["series"], "t", "price")
 
 
@@ -75,10 +80,16 @@ def with_path(s, d, states=None):
 DIFFS = f"""SELECT p.series, p.t, p.price / {PRICE_SCALE} AS v, (p.price - q.price) / {PRICE_SCALE} AS y,
     (q.price - r.price) / {PRICE_SCALE} AS x FROM ps AS p LEFT JOIN ps AS q ON q.series = p.series AND q.t = p.t - 1
     LEFT JOIN ps AS r ON r.series = p.series AND r.t = p.t - 2 AND q.t IS NOT NULL"""
-FIT = f"""SELECT series, count(x) AS n, regr_intercept(y, x) AS intercept, regr_slope(y, x) AS slope,
-    arg_max(v, t) AS last, arg_max(y, t) AS change FROM ({DIFFS}) WHERE t <= {OBSERVED} GROUP BY 1"""
-FIT_SD = f"""SELECT f.*, (SELECT stddev_samp(y - f.intercept - f.slope * x) FROM ({DIFFS}) AS e
-    WHERE e.series = f.series AND e.t <= {OBSERVED} AND x IS NOT NULL) AS sd FROM ({FIT}) AS f"""
+
+
+def fit_sql(rows: str) -> str:
+    fit = f"""SELECT series, count(x) AS n, regr_intercept(y, x) AS intercept, regr_slope(y, x) AS slope,
+        arg_max(v, t) AS last, arg_max(y, t) AS change FROM ({DIFFS}) WHERE {rows} GROUP BY 1"""
+    return f"""SELECT f.*, (SELECT stddev_samp(y - f.intercept - f.slope * x) FROM ({DIFFS}) AS e
+        WHERE e.series = f.series AND {rows} AND x IS NOT NULL) AS sd FROM ({fit}) AS f"""
+
+
+FIT_SD, FIT_BEFORE = fit_sql("true"), fit_sql(f"t <= {OBSERVED}")
 
 
 def project_sql(fits: str, horizon: int, shock: str = "0") -> str:
@@ -130,12 +141,12 @@ SERIES_CHECKS = [
         "series:s t:i price:r6",
         lambda s, d: series.observed_else_projected(
             observed(s, d),
-            series.path_rows(series.ar1_project(fitted(s, d), HORIZON), ["series", "last_period"], step="step", value="price")
+            series.path_rows(series.ar1_project(fitted_before(s, d), HORIZON), ["series", "last_period"], step="step", value="price")
             .withColumn("t", F.col("last_period") + F.col("step")),
             ["series"], "t", "price",
         ),
         f"""SELECT series, t, price / {PRICE_SCALE} AS price FROM ps WHERE t <= {OBSERVED} UNION ALL
-            SELECT p.series, l.t + step, value FROM ({project_sql(FIT_SD, HORIZON)}) AS p
+            SELECT p.series, l.t + step, value FROM ({project_sql(FIT_BEFORE, HORIZON)}) AS p
             JOIN (SELECT series, max(t) AS t FROM ps WHERE t <= {OBSERVED} GROUP BY 1) AS l ON l.series = p.series""",
     ),
     Check(
@@ -144,6 +155,12 @@ SERIES_CHECKS = [
         learned,
         "SELECT * FROM learned",
     ),
+    Check(
+        "rls_states",
+        "series:s t:i gain:r6 r11:r6 r12:r6 r21:r6 r22:r6 n1:r6 n2:r6",
+        lambda s, d: series.rls_states(with_gain(s, d), ["series"], "t", "price", "gain", RLS_START, RLS_MATRIX),
+        "SELECT * FROM rls WHERE t > (SELECT min(t) + 1 FROM ps WHERE ps.series = rls.series)",
+    ),
     Check(
         "expected_price_path",
         "hid:i step:i value:r6",

@@ -1,7 +1,7 @@
 """Many yearly or monthly series at once: AR(1) in differences, projections, learning.
 
 A series is a set of rows (key, period, value) with consecutive integer periods. A period that is
-missing breaks the differences around it; the weights of ``rls_fold`` still age by period.
+missing breaks the differences around it, and nothing is learned from these.
 """
 
 from __future__ import annotations
@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 
 from hearthpanel.functions.draws import normal
 from hearthpanel.functions.finance import price_path
-from hearthpanel.operators.keyed import attach
+from hearthpanel.operators.keyed import attach, null_safe_join
 from hearthpanel.operators.panel import earlier_values
+from hearthpanel.operators.scan import running_states
+from hearthpanel.workspace import materialize
 
 
-def differences(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """Each value with its change ``y`` and the change before, ``x``."""
+def differences(df: DataFrame, keys: Sequence[str], order: str, value: str, *more: str) -> DataFrame:
+    """Each value with its change ``y`` and the change before, ``x``, and ``more`` columns as they are."""
     looked = earlier_values(
-        df.select(*keys, order, value), keys, order, {"_lag1": (value, 1), "_lag2": (value, 2)}
+        df.select(*keys, order, value, *more), keys, order, {"_lag1": (value, 1), "_lag2": (value, 2)}
     )
     return looked.select(
-        *keys, order, value, (F.col(value) - F.col("_lag1")).alias("y"), (F.col("_lag1") - F.col("_lag2")).alias("x")
+        *keys, order, value, *more, (F.col(value) - F.col("_lag1")).alias("y"), (F.col("_lag1") - F.col("_lag2")).alias("x")
     )
 
 
@@ -95,7 +97,7 @@ def observed_else_projected(
     return marked.groupBy(*keys, order).agg(F.coalesce(F.max("_seen"), F.max("_guess")).alias(value))
 
 
-def rls_fold(
+def rls_states(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
@@ -104,40 +106,138 @@ def rls_fold(
     start: tuple[float, float],
     matrix: tuple[float, float, float, float],
 ) -> DataFrame:
-    """Constant-gain recursive least squares of the change on a constant and the change before.
-
-    Per series: moment matrix ``r11 r12 r21 r22`` and coefficients ``n1 n2`` after the last
-    period. With gain g the recursion moves R to (1-g)R + g zz' and R*coef to (1-g)R*coef + g z y,
-    so both are sums weighted by (1-g)^age and no ordered pass over the series is needed. An update
-    that would make the matrix singular keeps the old one: from a positive definite start, which is
-    required, that happens with gain 1 only, and then always, so the matrix stays as it starts and the
-    coefficients are folded in order, one series' steps at a time. The gain of a series must not vary.
+    """What recursive least squares has learned after every period, one row per period that has a change
+    and a change before: ``y``, ``x``, the gain, the matrix ``r11 r12 r21 r22`` and coefficients ``n1 n2``.
+
+    The gain may vary from period to period. An update that would make the matrix singular, which from a
+    positive definite start happens with gain 1 only, keeps the old matrix; the coefficients still learn.
+    Periods without a step leave everything as it is. The matrix, and then the coefficients given the
+    matrices, change by affine maps, so both are distributed scans (see ``scan``) over any length of series.
     """
+    m11, m12, m21, m22 = _positive_definite(matrix)
+    rows = differences(df.select(*keys, order, value, gain), keys, order, value, gain)
+    rows = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(gain).isNotNull()).withColumn(
+        gain, F.col(gain).cast("double")
+    )
+    rows = materialize(rows, "steps")
+    g, x, y = F.col(gain), F.col("x"), F.col("y")
+    moves = g != 1
+
+    def affine(a: Column, *c: Column) -> Column:
+        return F.struct(a.alias("a"), *[v.alias(f"c{i}") for i, v in enumerate(c)])
+
+    def after(first: Column, second: Column) -> Column:
+        return affine(second["a"] * first["a"], *[second["a"] * first[f"c{i}"] + second[f"c{i}"] for i in range(3)])
+
+    def moved(m: Column, r: Column) -> Column:
+        parts = (("r11", "c0"), ("r12", "c1"), ("r21", "c1"), ("r22", "c2"))
+        return F.struct(*[(m["a"] * r[name] + m[c]).alias(name) for name, c in parts])
+
+    step = affine(F.when(moves, 1 - g).otherwise(1.0), *[F.when(moves, g * v).otherwise(0.0) for v in (F.lit(1.0), x, x * x)])
+    begin = F.struct(*[F.lit(v).alias(n) for n, v in (("r11", m11), ("r12", m12), ("r21", m21), ("r22", m22))])
+    told = running_states(rows, keys, order, step, after, moved, begin, "_r")
+    told = told.select(*rows.columns, "_r.*")
+    r11, r12, r21, r22 = (F.col(n) for n in ("r11", "r12", "r21", "r22"))
+    det = r11 * r22 - r12 * r21
+    u, v = g * (r22 - r12 * x) / det, g * (r11 * x - r21) / det  # gain times inverse matrix times (1, x)
+
+    def linear(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), e.alias("e"), f.alias("f"))
+
+    def chained(p: Column, q: Column) -> Column:
+        return linear(
+            q["a"] * p["a"] + q["b"] * p["c"], q["a"] * p["b"] + q["b"] * p["d"],
+            q["c"] * p["a"] + q["d"] * p["c"], q["c"] * p["b"] + q["d"] * p["d"],
+            q["a"] * p["e"] + q["b"] * p["f"] + q["e"], q["c"] * p["e"] + q["d"] * p["f"] + q["f"],
+        )
+
+    def learned(m: Column, n: Column) -> Column:
+        return F.struct(
+            (m["a"] * n["n1"] + m["b"] * n["n2"] + m["e"]).alias("n1"), (m["c"] * n["n1"] + m["d"] * n["n2"] + m["f"]).alias("n2")
+        )
+
+    step = linear(1 - u, -u * x, -v, 1 - v * x, u * y, v * y)
+    begin = F.struct(F.lit(float(start[0])).alias("n1"), F.lit(float(start[1])).alias("n2"))
+    out = running_states(told, keys, order, step, chained, learned, begin, "_n")
+    return out.select(*told.columns, "_n.*")
+
+
+def _positive_definite(matrix: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
     m11, m12, m21, m22 = (float(m) for m in matrix)
     if m11 <= 0 or 4 * m11 * m22 <= (m12 + m21) ** 2:
         raise ValueError("the starting matrix must be positive definite")
-    rows = differences(df.select(*keys, order, value, gain), keys, order, value)
-    rows = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    varies = F.raise_error(F.lit(f"{gain} varies within a series")).cast("double")
-    one_gain = F.when(F.min(gain) != F.max(gain), varies).otherwise(F.max(gain)).alias("_gain")
-    gains = df.groupBy(*keys).agg(one_gain, F.max(order).alias("_last"), F.count(F.lit(1)).alias("_obs"))
-    aged = attach(rows, gains, keys, "_obs").withColumn(
+    return m11, m12, m21, m22
+
+
+def rls_fold(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    gain: str,
+    start: tuple[float, float],
+    matrix: tuple[float, float, float, float],
+) -> DataFrame:
+    """Recursive least squares of the change on a constant and the change before, per series: the largest
+    gain, moment matrix ``r11 r12 r21 r22`` and coefficients ``n1 n2`` after the last period.
+
+    With one gain g below 1 the recursion moves R to (1-g)R + g zz' and R*coef to (1-g)R*coef + g z y, so
+    both are weighted sums by age in steps and no ordered pass is needed where no period is missing. All
+    other series (a gain of 1, gains that vary, missing periods) are scanned as in ``rls_states``.
+    """
+    m11, m12, m21, m22 = _positive_definite(matrix)
+    rows = differences(df.select(*keys, order, value, gain), keys, order, value, gain)
+    rows = materialize(rows, "changes")
+    step = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(gain).isNotNull()
+    gains = rows.groupBy(*keys).agg(
+        F.max(gain).cast("double").alias("_gain"),
+        F.max(order).alias("_last"),
+        F.count(F.lit(1)).alias("_obs"),
+        F.max_by(value, order).alias("last"),
+        F.max_by("y", order).alias("change"),
+        F.count(F.when(step, 1)).alias("n"),
+        (F.max(F.when(step, F.col(order))) - F.min(F.when(step, F.col(order))) + 1 - F.count(F.when(step, 1))).alias("_missing"),
+        (F.min(gain) != F.max(gain)).alias("_varies"),
+        F.max(F.when(step, F.col(order))).alias("_until"),
+    )
+    gains = materialize(gains.filter("n > 0").withColumn("_scan", F.expr("_gain = 1 or _varies or _missing > 0 or _until < _last")), "gains")
+    found = _weighted(rows.filter(step), gains.filter("not _scan"), keys, order, gain, start, (m11, m12, m21, m22))
+    if gains.filter("_scan").limit(1).count():
+        scanned = gains.filter("_scan").select(*keys, F.col("_gain").alias("_most"), "_until", "last", "change", "_last", "n")
+        chosen = null_safe_join(df.select(*keys, order, value, gain), scanned.select(*keys), keys, "left_semi")
+        states = rls_states(chosen, keys, order, value, gain, start, matrix)
+        ends = null_safe_join(states.drop("n"), scanned, keys, "inner").filter(F.col(order) == F.col("_until"))
+        found = found.unionByName(
+            ends.select(
+                *keys, "n", F.col("_most").alias(gain), "last", "change", F.col("_last").alias("last_period"),
+                "r11", "r12", "r21", "r22", "n1", "n2",
+            )
+        )
+    return found
+
+
+def _weighted(
+    rows: DataFrame, gains: DataFrame, keys: Sequence[str], order: str, gain: str, start: tuple[float, float],
+    matrix: tuple[float, float, float, float],
+) -> DataFrame:
+    """The learning of series with one gain below 1 and no missing period, as sums weighted by age."""
+    m11, m12, m21, m22 = matrix
+    aged = attach(rows.drop(gain), gains.drop("n"), keys, "_obs", written=True).filter("_gain is not null").withColumn(
         "_w", F.col("_gain") * F.pow(1 - F.col("_gain"), F.col("_last") - F.col(order))
     )
     weighted = lambda *parts: F.sum(_product("_w", *parts))
     sums = aged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.max("_gain").alias(gain),
-        F.pow(1 - F.max("_gain"), F.max("_last") - F.min(order) + 1).alias("_left"),
+        F.pow(1 - F.max("_gain"), F.count(F.lit(1))).alias("_left"),
         weighted().alias("_s1"),
         weighted("x").alias("_sx"),
         weighted("x", "x").alias("_sxx"),
         weighted("y").alias("_sy"),
         weighted("x", "y").alias("_sxy"),
-        F.max_by(value, order).alias("last"),
-        F.max_by("y", order).alias("change"),
-        F.max(order).alias("last_period"),
-        F.sort_array(F.collect_list(F.when(F.col("_gain") == 1, F.struct(order, "x", "y")))).alias("_steps"),
+        F.max("last").alias("last"),
+        F.max("change").alias("change"),
+        F.max("_last").alias("last_period"),
     )
     left = F.col("_left")
     state = sums.withColumns(
@@ -151,29 +251,11 @@ def rls_fold(
         }
     )
     det = F.col("r11") * F.col("r22") - F.col("r12") * F.col("r21")
-    fixed = m11 * m22 - m12 * m21
-
-    def step(coef: Column, at: Column) -> Column:
-        error = (at["y"] - coef["a"] - coef["b"] * at["x"]) / fixed
-        a, b = coef["a"] + (m22 - m12 * at["x"]) * error, coef["b"] + (m11 * at["x"] - m21) * error
-        return F.struct(a.alias("a"), b.alias("b"))
-
-    begin = F.struct(F.lit(float(start[0])).alias("a"), F.lit(float(start[1])).alias("b"))
-    folded = state.withColumn("_folded", F.aggregate("_steps", begin, step))
-    kept = F.col(gain) == 1
-    solved = {
-        "n1": F.when(kept, F.col("_folded.a")).otherwise(
-            F.try_divide(F.col("r22") * F.col("_b1") - F.col("r12") * F.col("_b2"), det)
-        ),
-        "n2": F.when(kept, F.col("_folded.b")).otherwise(
-            F.try_divide(F.col("r11") * F.col("_b2") - F.col("r21") * F.col("_b1"), det)
-        ),
-    }
-    matrix_kept = {
-        name: F.when(kept, F.lit(m)).otherwise(F.col(name)) for name, m in zip(("r11", "r12", "r21", "r22"), (m11, m12, m21, m22))
-    }
-    return folded.withColumns(solved).withColumns(matrix_kept).drop(
-        "_steps", "_folded", "_left", "_s1", "_sx", "_sxx", "_sy", "_sxy", "_b1", "_b2")
+    return state.select(
+        *keys, "n", gain, "last", "change", "last_period", "r11", "r12", "r21", "r22",
+        F.try_divide(F.col("r22") * F.col("_b1") - F.col("r12") * F.col("_b2"), det).alias("n1"),
+        F.try_divide(F.col("r11") * F.col("_b2") - F.col("r21") * F.col("_b1"), det).alias("n2"),
+    )
 
 
 def _product(first: str, *rest: str) -> Column:

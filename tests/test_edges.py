@@ -60,31 +60,66 @@ def test_full_subsidy_and_no_income(spark):
     assert [r.rationed for r in got.orderBy("loan").collect()] == [0, 1]
 
 
-def brute_rls(values, gain, start, matrix):
+def brute_rls(values, gains, start, matrix):
+    """Matrix and coefficients after every step, period by period; None is a missing period."""
     r, coef = np.array(matrix, float).reshape(2, 2), np.array(start, float)
+    out = {}
     for t in range(2, len(values)):
+        if None in values[t - 2 : t + 1]:
+            continue
         z = np.array([1.0, values[t - 1] - values[t - 2]])
         y = values[t] - values[t - 1]
-        new = r + gain * (np.outer(z, z) - r)
-        if np.linalg.det(new) != 0:
+        new = r + gains[t] * (np.outer(z, z) - r)
+        if gains[t] != 1:
             r = new
-        coef = coef + gain * np.linalg.solve(r, z * (y - z @ coef))
-    return r, coef
-
-
-@pytest.mark.parametrize("gain", [0.05, 1.0])
-def test_gain_of_one_keeps_the_matrix(spark, gain):
-    values = [1.0, 1.5, 1.25, 2.0, 2.5, 2.25, 3.5]
-    df = spark.createDataFrame([("a", t, v, gain) for t, v in enumerate(values)], "s string, t int, v double, g double")
-    (got,) = series.rls_fold(df, ["s"], "t", "v", "g", (0.1, 0.2), (2.0, 0.5, 0.5, 1.0)).collect()
-    r, coef = brute_rls(values, gain, (0.1, 0.2), (2.0, 0.5, 0.5, 1.0))
-    assert np.allclose([got.r11, got.r12, got.r21, got.r22], r.ravel()) and np.allclose([got.n1, got.n2], coef)
-
-
-def test_a_gain_that_varies_stops(spark):
-    df = spark.createDataFrame([("a", t, float(t * t), 0.1 + t / 100) for t in range(5)], "s string, t int, v double, g double")
-    with pytest.raises(Exception, match="varies"):
-        series.rls_fold(df, ["s"], "t", "v", "g", (0.1, 0.2), (2.0, 0.5, 0.5, 1.0)).collect()
+        coef = coef + gains[t] * np.linalg.solve(r, z * (y - z @ coef))
+        out[t] = (*r.ravel(), *coef)
+    return out
+
+
+STATE = ("r11", "r12", "r21", "r22", "n1", "n2")
+RLS = ((0.1, 0.2), (2.0, 0.5, 0.5, 1.0))
+
+
+def many_series():
+    rng = np.random.default_rng(3)
+    values = {k: list(map(float, np.cumsum(rng.normal(0.1, 1, n)) + 9)) for k, n in (("a", 700), ("b", 7), ("c", 66), ("d", 150), (None, 9))}
+    for t in (3, 80, 81, 149):
+        values["d"][t] = None
+    values["e"], values["f"] = values["c"][:40], [1.0, 2.0]
+    gains = {k: [0.05] * 700 for k in values}
+    gains["c"] = [1.0] * 700
+    gains["e"] = [0.1 + 0.9 * (t % 7 == 0) for t in range(700)]
+    return values, gains
+
+
+def learning_rows(spark):
+    values, gains = many_series()
+    rows = [(k, t - 5, v, gains[k][t], 1) for k, vs in values.items() for t, v in enumerate(vs) if v is not None]
+    return spark.createDataFrame(rows, "s string, t int, v double, g double, n1 int").repartition(6)
+
+
+def test_states_after_every_period(spark):
+    """Long, short and gappy series; gains that are 1, vary or stay; a block is 64 periods."""
+    values, gains = many_series()
+    got = series.rls_states(learning_rows(spark), ["s"], "t", "v", "g", *RLS).collect()
+    by = {(r.s, r.t + 5): tuple(r[c] for c in STATE) for r in got}
+    want = {(k, t): state for k, vs in values.items() for t, state in brute_rls(vs, gains[k], *RLS).items()}
+    assert by.keys() == want.keys() and len(got) == len(want)
+    assert all(by[k] == pytest.approx(want[k], rel=1e-7, abs=1e-9) for k in want)
+
+
+def test_last_state_of_all_kinds_of_series(spark):
+    values, gains = many_series()
+    got = {r.s: r for r in series.rls_fold(learning_rows(spark), ["s"], "t", "v", "g", *RLS).collect()}
+    assert got.keys() == {k for k in values if k != "f"}
+    for k, r in got.items():
+        steps = brute_rls(values[k], gains[k], *RLS)
+        assert tuple(r[c] for c in STATE) == pytest.approx(steps[max(steps)], rel=1e-7, abs=1e-9), k
+        known = [t for t, v in enumerate(values[k]) if v is not None]
+        assert (r.n, r.last, r.last_period) == (len(steps), values[k][known[-1]], known[-1] - 5)
+    empty = learning_rows(spark).limit(0)
+    assert series.rls_states(empty, ["s"], "t", "v", "g", *RLS).count() == 0 == series.rls_fold(empty, ["s"], "t", "v", "g", *RLS).count()
 
 
 def test_concepts_not_asked_or_without_columns(spark):
