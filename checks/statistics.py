@@ -8,7 +8,7 @@ from checks.cleaning import BANDS, consumption_long
 from checks.framework import Check
 from checks.least_squares import EDUCATION, LINEAR, SQUARED, coef_sql
 from checks.views import FAMILIES, PRICE_SCALE, codebook, view
-from hearthpanel.operators import aggregates, clean, joins, panel, regression
+from hearthpanel.operators import aggregates, clean, density, joins, panel, regression
 from hearthpanel.operators.keyed import group_stats
 from hearthpanel.operators.reshape import stack_with_id, wide_to_long
 from hearthpanel.plans.jobs import harmonise
@@ -262,6 +262,18 @@ AGGREGATE_CHECKS = [
         """SELECT decile, bin, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY decile) / 0.25::DOUBLE AS density FROM (
             SELECT decile, floor(ln(NetWealth) / 0.25::DOUBLE + 0.5) AS bin FROM dec WHERE NetWealth > 0) GROUP BY 1, 2""",
     ),
+    Check(
+        "log_kernel_density",
+        "decile:i point:i x:r6 rows:i bandwidth:r6 density:r6",
+        lambda s, d: density.log_kernel_density(deciles(s, d), ["decile"], "NetWealth", 64),
+        # Every row at every place.
+        """WITH l AS (SELECT decile, ln(NetWealth) AS v FROM dec WHERE NetWealth > 0),
+        b AS (SELECT decile, count(*) AS rows, 0.9::DOUBLE * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34::DOUBLE)
+            * count(*) ** -0.2::DOUBLE AS bandwidth FROM l GROUP BY 1),
+        g AS (SELECT i AS point, lo + (hi - lo) * i / 63 AS x FROM (SELECT min(v) AS lo, max(v) AS hi FROM l), range(64) AS r(i))
+        SELECT decile, point, x, rows, bandwidth, sum(exp(-0.5::DOUBLE * ((x - v) / bandwidth) ** 2)) / (sqrt(2 * pi()) * bandwidth * rows) AS density
+        FROM b JOIN l USING (decile), g GROUP BY decile, point, x, rows, bandwidth""",
+    ),
     Check(
         "ols_linear",
         COEFS,
