@@ -5,8 +5,8 @@ Fingerprints of equal texts are compared once. Two fingerprints within ``RADIUS`
 pair is missed. What shares two blocks is a bucket; a bucket of more than ``TILE`` fingerprints is cut
 into tiles by population count and hash, and every pair of tiles whose population counts differ by no
 more than the radius is compared, each pair of tiles in whatever task it falls to. The comparison is
-exclusive-or and bit count on numpy arrays. A pair of tiles reports not all its links but one link less
-than members per connected set, so dense groups stay small. Connected components of the links are found
+exclusive-or and bit count on numpy arrays. A task reports not all its links but one link less than members
+per set that they connect, so dense groups, which meet in many buckets and pairs of tiles, stay small. Connected components of the links are found
 by alternating star contraction, a few joins over written tables.
 
 Nulls and texts without a word have fingerprint zero and are linked like any other. Null ids are never
@@ -33,7 +33,8 @@ RADIUS = 3
 SHINGLE = 3
 BLOCKS = (13, 13, 13, 13, 12)
 TILE = 2048
-_HASHED_AT_ONCE = 1 << 16
+LINKS_HELD = 1 << 20
+_HASHED_AT_ONCE, _SENT_AT_ONCE = 1 << 16, 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -117,11 +118,47 @@ def forest(bits: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(roots or [empty]), np.concatenate(others or [empty])
 
 
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same connected sets with one link less than members each, from the smallest member to the others."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    top = np.arange(len(nodes))
+    while len(a):
+        while (top[top] != top).any():
+            top = top[top]
+        a, b = top[a], top[b]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        a, b = low[low != high], high[low != high]
+        np.minimum.at(top, b, a)
+    below = np.flatnonzero(top != np.arange(len(nodes)))
+    return nodes[top[below]], nodes[below]
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from rows sorted by bucket and pair; a pair of tiles may go on in the next batch."""
+    """Links from rows sorted by bucket and pair; a pair of tiles may go on in the next batch.
+
+    A dense group meets in many buckets and pairs of tiles. A task therefore unites what it finds before it
+    reports it, one link per member; it holds ``LINKS_HELD`` links beside these.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    count = limit = 0
+    for u, v in _links_found(batches):
+        found.append((u, v))
+        count += len(u)
+        if count > LINKS_HELD + limit:
+            found = [contracted(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))]
+            count = limit = len(found[0][0])
+    if count:
+        u, v = contracted(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+        for b in range(0, len(u), _SENT_AT_ONCE):
+            columns = [pa.array(c[b : b + _SENT_AT_ONCE]) for c in (u, v)]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "v"])
+
+
+def _links_found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     held = [np.zeros(0, np.int64)] * 3
 
-    def links(columns: list[np.ndarray]) -> pa.RecordBatch:
+    def links(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         bucket, pair, signed = columns
         bits = signed.view(np.uint64)
         ends = np.flatnonzero((bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])) + 1
@@ -131,8 +168,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= RADIUS]
         found = [(bits[two], bits[two + 1])]
         found += [forest(bits[b : b + n]) for b, n in zip(begin[size > 2], size[size > 2])]
-        sides = [np.concatenate([f[i] for f in found]).view(np.int64) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(s) for s in sides], names=["u", "v"])
+        return tuple(np.concatenate([f[i] for f in found]).view(np.int64) for i in (0, 1))
 
     for batch in batches:
         columns = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hearthpanel.llm import queries, simhash
 
@@ -77,6 +78,40 @@ def test_one_dense_group(spark):
     assert simhash.components(links).select("root").distinct().count() == 1
 
 
+def test_a_task_reports_one_link_a_member(spark, monkeypatch):
+    """Whatever buckets and pairs of tiles a dense group meets in; with and without uniting on the way."""
+    rng = random.Random(6)
+    centre = rng.getrandbits(63)
+    values = sorted({centre} | {centre ^ (1 << a) ^ (1 << b) for a in range(60) for b in range(a)})
+    df = spark.createDataFrame([(v,) for v in values], "bits bigint").coalesce(1)
+    members = df.select("bits", F.explode(simhash._bucket_keys(F.col("bits"))).alias("bucket"))
+    rows = simhash._tiled(members, 64).coalesce(1).sortWithinPartitions("bucket", "pair").toArrow()
+    rows = rows.select(["bucket", "pair", "bits"])
+    for held in (1 << 20, 100):
+        monkeypatch.setattr(simhash, "LINKS_HELD", held)
+        out = [b for b in simhash._compared(iter(rows.to_batches(max_chunksize=333)))]
+        u, v = (np.concatenate([b.column(i).to_numpy() for b in out]) for i in (0, 1))
+        assert len(u) == len(values) - 1 and set(u) == {values[0]} and set(v) == set(values[1:])
+
+
+def test_contracted_links():
+    rng = np.random.default_rng(1)
+    u, v = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    a, b = simhash.contracted(u, v)
+    top = {int(x): int(x) for x in np.concatenate([u, v])}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for x, y in zip(u.tolist(), v.tolist()):
+        low, high = sorted((root(x), root(y)))
+        top[high] = low
+    assert {(int(x), int(y)) for x, y in zip(a, b)} == {(root(x), x) for x in top if root(x) != x}
+    assert len(simhash.contracted(u[:0], v[:0])[0]) == 0
+
+
 def test_forest_connects_what_is_near():
     values = np.array(sorted(clusters(9)), np.uint64)
     a, b = simhash.forest(values)
