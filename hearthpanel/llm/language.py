@@ -5,9 +5,9 @@ anywhere in the reference; related text needs few phrases. The language with the
 the logarithm of its reference's length, per letter of the text wins; ties go to the first by name.
 
 The pieces of a reference are the paths of its suffix automaton. A phrase ends where a transition is
-missing and the next begins with that letter (case, kinds of space and digits do not count), so the automaton with these restarts filled in is one
-table, and a batch of texts walks all tables at once, one letter of every text per step. Texts are cut
-into blocks of ``BLOCK`` letters at which a phrase ends too; all blocks of a text count.
+missing and the next begins with that letter (case, kinds of space and digits do not count), so the automaton
+with these restarts filled in is a table for its language's frequent letters and a list for the others, and a
+batch of texts walks the automata of all languages at once, one letter of every text per step. Texts are cut into blocks of ``BLOCK`` letters at which a phrase ends too; all blocks of a text count.
 
 References are bounded: ``DOCS_PER_LANGUAGE`` different labelled texts by seeded hash, ``DOC_CHARS`` letters
 of each from ``PIECES`` seeded places, one in each part of the text. The labels are assumed to be few (names of languages). Null texts, texts without a letter, and
@@ -32,7 +32,7 @@ BLOCK = 4096
 DOCS_PER_LANGUAGE = 48
 DOC_CHARS = 400
 PIECES = 5
-ALPHABET = 120
+DENSE = 32
 _SPAN = 1 << 62
 _DIGIT, _SPACE = re.compile("[0-9]"), re.compile("[ \\t\\n\\r\\v\\f\\xa0]")
 
@@ -98,40 +98,73 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """Tables of all languages, for batches of texts."""
+    """Tables of all languages, for batches of texts.
+
+    Every language has an alphabet of its own, all letters of its reference. Its ``DENSE`` most frequent
+    letters are columns of a table; the transitions of the others, of which most states have none, are one
+    sorted list. So a reference of thousands of letters takes the memory of its transitions.
+    """
 
     def __init__(self, texts: tuple[tuple[str, str], ...]):
         self.names = [name for name, _ in texts]
-        letters = Counter(c for _, text in texts for c in _DIGIT.sub("0", _SPACE.sub(" ", text.lower())))
-        # The rarest letters share code 0 with unseen ones, which no reference holds.
-        kept = sorted(sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET])
-        width = len(kept) + 1
-        self.code = np.zeros(0x110000, np.int32)
-        for i, c in enumerate(kept, 1):
+        counts = [Counter(_DIGIT.sub("0", _SPACE.sub(" ", text.lower()))) for _, text in texts]
+        letters = sorted(set().union(*counts)) if counts else []
+        self.code = np.zeros(0x110000, np.int32)  # 0: a letter of no reference
+        for i, c in enumerate(letters, 1):
             same = {c, c.upper()} | ({*"0123456789"} if c == "0" else {*" \t\n\r\v\f\xa0"} if c == " " else set())
             self.code[[ord(x) for x in same if len(x) == 1]] = i
-        tables, self.starts, size = [], [], 0
-        for _, text in texts:
+        number = {c: i for i, c in enumerate(letters, 1)}
+        # Column 0: not in this reference; 1: looked up in the list.
+        self.column = np.zeros((len(letters) + 1, len(texts)), np.int32)
+        tables, keys, values, size = [], [], [], 0
+        self.starts = []
+        for n, (_, text) in enumerate(texts):
+            own = sorted(counts[n], key=lambda c: (-counts[n][c], c))
+            dense = {number[c]: i for i, c in enumerate(own[:DENSE], 2)}
+            self.column[[number[c] for c in own], n] = 1
+            self.column[list(dense), n] = list(dense.values())
             moves = suffix_automaton(self._codes(text).tolist())
+            width = len(dense) + 2
             if size + (len(moves) + 1) * width >= _CUT:
                 raise ValueError("the references are too large for one table")
             # A letter the reference lacks is a phrase of its own: a state that every letter leaves.
-            begin = np.full(width, size + len(moves) * width, np.int32)
+            nowhere = size + len(moves) * width
+            begin = np.full(width, nowhere, np.int32)
             for c, to in moves[0].items():
-                if c:
-                    begin[c] = size + to * width
+                if c in dense:
+                    begin[dense[c]] = size + to * width
             table = np.tile(begin | np.int32(_CUT), (len(moves) + 1, 1))
             table[0] = begin
+            table[:, 1] = _LISTED
             for state, out in enumerate(moves):
                 for c, to in out.items():
-                    if c:
-                        table[state, c] = size + to * width
+                    if c in dense:
+                        table[state, dense[c]] = size + to * width
+                    elif c:
+                        keys.append((size + state * width) << _LETTER_BITS | c)
+                        values.append(size + to * width)
             tables.append(table.ravel())
             self.starts.append(size)
             size += table.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        # A last key that none is beyond.
+        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.values = np.append(np.array(values, np.int32)[order], np.int32(0))
+        self.first = np.array(self.starts, np.int64)
         self.weight = np.array([np.log2(len(text) + 2) for _, text in texts])
 
+    def _listed(self, state: np.ndarray, letter: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Transitions by rare letters; where there is none a phrase ends and the next begins with the letter."""
+        key = state.astype(np.int64) << _LETTER_BITS | letter
+        at = np.searchsorted(self.keys, key)
+        out = self.values[at]
+        ends = np.flatnonzero(self.keys[at] != key)
+        if len(ends):
+            again = self.first[language[ends]] << _LETTER_BITS | letter[ends]
+            out[ends] = self.values[np.searchsorted(self.keys, again)] | _CUT
+        return out
+
     def _codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
@@ -151,7 +184,12 @@ class Parser:
         cuts = np.zeros(state.shape, np.int32)
         live = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
         for t, n in enumerate(live):
-            to = self.table[state[:n] + flat[begin[:n] + t][:, None]]
+            letter = flat[begin[:n] + t]
+            to = self.table[state[:n] + self.column[letter]]
+            if self.values.size > 1:
+                row, language = np.nonzero(to == _LISTED)
+                if len(row):
+                    to[row, language] = self._listed(state[row, language], letter[row], language)
             cuts[:n] += to >> _CUT_BIT
             np.bitwise_and(to, _CUT - 1, out=state[:n])
         total = np.zeros((len(texts), len(self.names)), np.int64)
@@ -180,6 +218,8 @@ class Parser:
 
 _CUT_BIT = 30
 _CUT = 1 << _CUT_BIT
+_LISTED = -1
+_LETTER_BITS = 21
 
 
 @lru_cache(maxsize=1)

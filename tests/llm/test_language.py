@@ -36,6 +36,33 @@ def test_phrases_against_search(seed, monkeypatch):
     assert got.tolist() == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_phrases_with_wide_alphabets(seed, monkeypatch):
+    """Alphabets far beyond the table's columns, shared in part, with letters no reference holds."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(language, "DENSE", 3)
+    han, kana = [chr(0x4E00 + i) for i in range(40)], [chr(0x3040 + i) for i in range(1, 30)]
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = (("han", make(han, 300)), ("latin", make("abcdefgh", 200)), ("mixed", make(han[:20] + kana, 300)))
+    given = [make(rng.choice([han, kana, "abcdz", han + kana + ["z", "q"]]), rng.randrange(0, 120)) for _ in range(40)]
+    assert language.Parser(texts).phrases(given).tolist() == [[phrases(t, ref) for _, ref in texts] for t in given]
+
+
+def test_many_scripts():
+    """Ten made-up languages, three of thousands of letters: short texts are told apart."""
+    rng = random.Random(3)
+    alphabets = ["abcdefghijklmnop", "fghijklmnopqrstu"]
+    alphabets += ["".join(chr(b + i) for i in range(30)) for b in (0x3B1, 0x430, 0x5D0, 0x627, 0xE01)]
+    alphabets += ["".join(chr(b + i) for i in range(2500)) for b in (0x4E00, 0x5E00, 0x6E00)]
+    words = [[("".join(rng.choice(a) for _ in range(rng.randrange(1, 7)))) for _ in range(800)] for a in alphabets]
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    parser = language.Parser(tuple((f"l{k}", say(k, 4000)) for k in range(len(alphabets))))
+    texts = [(k, say(k, n)) for k in range(len(alphabets)) for n in (2, 5, 25) for _ in range(20)]
+    found = [name for name, _ in parser.best([t for _, t in texts])]
+    assert np.mean([f == f"l{k}" for f, (k, _) in zip(found, texts)]) > 0.97
+    assert parser.table.nbytes < 50_000_000
+
+
 def test_case_digits_and_spaces_do_not_count():
     parser = language.Parser((("one", "aB 12\nc"),))
     assert parser.phrases(["Ab\t00 C"]).tolist() == [[1]]
