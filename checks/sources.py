@@ -9,7 +9,7 @@ from checks.framework import Check
 from checks.views import view
 from hearthpanel.operators.panel import preview_sorted
 from hearthpanel.operators.reshape import long_to_wide
-from hearthpanel.sources import files
+from hearthpanel.sources import files, waves
 from hearthpanel.workspace import new_path
 
 ORDER_BOOK = {"o_orderkey": "row", "o_custkey": "pid", "o_totalprice": "income", "o_comment": "remark"}
@@ -50,6 +50,15 @@ def run_results(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_run_results(spark, path, RUN_SCHEMA)
 
 
+def late_waves(spark: SparkSession, sf: str) -> DataFrame:
+    """A snapshot of the early waves with wrong incomes in one; then that wave again and the later ones."""
+    path, rows = new_path(spark, "late"), view(spark, sf, "py").select("pid", "hid", "year", "income", "LodgeEnglish")
+    first = rows.filter("year <= 2008").withColumn("income", F.when(F.col("year") == 2006, 0.0).otherwise(F.col("income")))
+    waves.write_waves(first, path, "year")
+    waves.write_waves(rows.filter("year = 2006 or year > 2008"), path, "year")
+    return waves.read_waves(spark, path)
+
+
 CHECKS = [
     Check(
         "scan_union_waves",
@@ -82,6 +91,12 @@ CHECKS = [
         lambda s, d: files.write_snapshot(view(s, d, "py"), new_path(s, "snapshot"), ["year"]),
         "SELECT * FROM py",
     ),
+    Check(
+        "write_waves",
+        "pid:i hid:i year:i income:r2 LodgeEnglish:s",
+        late_waves,
+        "SELECT pid, hid, year, income, LodgeEnglish FROM py",
+    ),
     Check(
         "write_run_csv",
         "run:s seed:i hid:i year:i income:r4 liquidity:r4 pv:i",

@@ -12,14 +12,23 @@ from hearthpanel.operators.keyed import attach, group_stats, null_safe_join
 from hearthpanel.workspace import materialize
 
 
-def natural_left_join(df: DataFrame, right: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Left join on every shared column (or ``keys``); null keys match null keys."""
-    return null_safe_join(df, right, keys or [c for c in df.columns if c in right.columns])
+def natural_left_join(
+    df: DataFrame, right: DataFrame, keys: Sequence[str] | None = None, known_keys: bool = False
+) -> DataFrame:
+    """Left join on every shared column (or ``keys``); null keys match null keys.
+
+    ``known_keys`` says that no key is null: then plain equality joins, which uses the buckets of tables
+    written by ``write_bucketed`` and moves no row.
+    """
+    shared = list(keys or [c for c in df.columns if c in right.columns])
+    if known_keys:
+        return df.join(right, shared, "left").select(*df.columns, *[c for c in right.columns if c not in shared])
+    return null_safe_join(df, right, shared)
 
 
-def chain_left_join(dfs: Sequence[DataFrame]) -> DataFrame:
+def chain_left_join(dfs: Sequence[DataFrame], keys: Sequence[str] | None = None, known_keys: bool = False) -> DataFrame:
     """Fold tables from the left by natural left joins."""
-    return reduce(natural_left_join, dfs)
+    return reduce(lambda a, b: natural_left_join(a, b, keys, known_keys), dfs)
 
 
 def unique_rows(table: DataFrame, key: str) -> DataFrame:

@@ -12,10 +12,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -34,7 +38,7 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scope.get() or work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -44,7 +48,37 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end, whether the work succeeds or fails.
+
+    They live until then, so executors may be lost meanwhile. Write or collect what is wanted inside: lazy
+    results still read the tables. Scopes may be nested; each deletes its own tables.
+    """
+    place = f"{_scope.get() or work_folder(spark)}/scope-{uuid.uuid4().hex[:12]}"
+    token = _scope.set(place)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, place)
+
+
+def write_result(
+    spark: SparkSession, make: Callable[[], DataFrame], path: str, mode: str = "error", partition_by: Sequence[str] = ()
+) -> DataFrame:
+    """Write the DataFrame that ``make`` returns as Parquet, delete all tables made on the way, return a scan."""
+    with scope(spark):
+        result = make()
+        result.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(result.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+
+
 def clear_work(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; results read from them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, work_folder(spark))

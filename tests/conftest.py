@@ -9,6 +9,7 @@ def spark(tmp_path_factory):
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     }
     session = build_session("tests", "local[8]", **settings)
     session.sparkContext.setLogLevel("ERROR")
