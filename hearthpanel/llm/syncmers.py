@@ -3,8 +3,9 @@
 A run of ``K`` words is an anchor if, of the hashes of the word pairs inside, one at an edge is the
 smallest. That depends on nothing outside the run, so an edit changes only anchors that overlap it, and
 every stretch of ``K - 1`` words or more that two texts share holds the same anchors in both. A
-fingerprint is the sorted list of the ``SKETCH`` smallest anchor hashes of the whole text; the share of
-common ones among the smallest of both estimates how much two texts share.
+fingerprint is the list of all anchors of the whole text, in order, each with the number of its first word,
+so that texts with the same parts in another order differ and shared parts can be placed. How alike two
+texts are is the share of the distinct anchors of both that they have in common, over all anchors.
 
 All of it is array functions on one row at a time. Texts too short for an anchor have one: all their
 words; null texts and texts without a word have an empty fingerprint, which is like an empty one (1)
@@ -23,7 +24,6 @@ from hearthpanel.llm.common import WORD, pick, with_ordinal
 from hearthpanel.workspace import materialize
 
 K = 6
-SKETCH = 64
 _NO_ID = -(1 << 63)
 
 
@@ -60,28 +60,26 @@ def _short(hash64: Column) -> Column:
     return F.shiftrightunsigned(hash64, 33).cast("int")
 
 
-def with_sketch(df: DataFrame, text: str, to: str) -> DataFrame:
-    """``df`` with the sorted array of the smallest anchor hashes (31 bits) of a text column."""
-    places = F.filter(F.sequence(F.lit(0), F.size("_words") - K), _at_edge)
-    found = F.when(F.size("_words") >= K, F.transform(places, lambda i: _short(_anchor(i))))
-    rows = _pairs(df, text).withColumn("_found", found)
-    whole = F.array(_short(F.xxhash64("_words")))
-    none = F.coalesce(F.size("_found"), F.lit(0)) <= 0
-    either = F.when(F.size("_words") == 0, F.array().cast("array<int>")).when(none, whole).otherwise(F.col("_found"))
-    least = F.slice(F.sort_array(F.array_distinct(either)), 1, SKETCH)
-    return rows.withColumn(to, least).drop("_words", "_pairs", "_found")
+def with_marks(df: DataFrame, text: str, to: str) -> DataFrame:
+    """``df`` with the array of (position, hash of 31 bits) of a text column."""
+    rows = with_anchors(df, text, to)
+    return rows.withColumn(to, F.transform(to, lambda a: F.struct(a["position"], _short(a["hash"]).alias("hash"))))
+
+
+def hashes(marks: str) -> Column:
+    return F.array_distinct(F.col(f"{marks}.hash"))
 
 
-def written(sketch: str) -> Column:
-    """A sketch as text, eight hexadecimal digits a hash."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+def written(marks: str) -> Column:
+    """Anchors as text: position and hash of each, hexadecimal."""
+    one = lambda a: F.concat_ws(":", F.lower(F.hex(a["position"])), F.lpad(F.lower(F.hex(a["hash"])), 8, "0"))
+    return F.array_join(F.transform(marks, one), " ")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Share of common hashes among the smallest of both sketches; two empty ones are alike."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), least))
-    return F.when(F.size(least) == 0, 1.0).otherwise(common / F.greatest(F.size(least), F.lit(1))).cast("double")
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common hashes among the distinct ones of both texts; two without any are alike."""
+    all_ = F.size(F.array_union(a, b))
+    return F.when(all_ == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(all_, F.lit(1))).cast("double")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -112,24 +110,24 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     ring, repeated = neighbours(keyed)
     # Texts are shuffled once: both uses of ``rows`` need the same columns by the same keys, so they read
     # the same exchange; the next document's beginning comes to them.
-    rows = with_sketch(keyed, "text", "sketch").select("id", "mark", "text", "sketch")
-    heads = rows.join(ring, ["id", "mark"]).select(
+    rows = keyed.select("id", "mark", "text")
+    heads = with_marks(rows.join(ring, ["id", "mark"]), "text", "marks").select(
         F.col("to_id").alias("id"), F.col("to_mark").alias("mark"),
-        F.expr("substring(text, 1, to_half)").alias("head"), F.col("sketch").alias("next_sketch"),
+        F.expr("substring(text, 1, to_half)").alias("head"), hashes("marks").alias("next_hashes"),
     )
     if repeated:
         heads = heads.dropDuplicates(["id", "mark"])
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 2))"), "head")
     both = rows.join(heads, ["id", "mark"])
-    both = both.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    done = with_sketch(both, "edited", "edited_sketch")
+    both = both.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), "text", "next_hashes", edited.alias("edited"))
+    done = with_marks(with_marks(both, "text", "marks"), "edited", "edited_marks")
     return done.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        written("sketch").alias("fingerprint"),
-        written("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        written("marks").alias("fingerprint"),
+        written("edited_marks").alias("edited_fingerprint"),
+        likeness(hashes("marks"), hashes("edited_marks")).alias("near_edited"),
+        likeness(hashes("marks"), F.col("next_hashes")).alias("near_next"),
     )

@@ -31,13 +31,17 @@ def brute_anchors(text):
     return found
 
 
-def brute_sketch(text):
-    return sorted({(h % (1 << 64)) >> 33 for _, h in brute_anchors(text)})[: syncmers.SKETCH]
+def brute_marks(text):
+    return [(i, (h % (1 << 64)) >> 33) for i, h in brute_anchors(text)]
 
 
 def brute_likeness(a, b):
-    least = sorted({*a, *b})[: syncmers.SKETCH]
-    return len({*a} & {*b} & {*least}) / len(least) if least else 1.0
+    a, b = {h for _, h in a}, {h for _, h in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def written(marks):
+    return " ".join(f"{i:x}:{h:08x}" for i, h in marks)
 
 
 def check(rows, docs):
@@ -48,9 +52,9 @@ def check(rows, docs):
         own, follower = text[r.doc_id], text[after[r.doc_id]]
         half = len(own) // 2
         edited = own[: len(own) - half] + follower[:half]
-        a, b, c = brute_sketch(own), brute_sketch(edited), brute_sketch(follower)
+        a, b, c = brute_marks(own), brute_marks(edited), brute_marks(follower)
         assert r.n_chars == len(own) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == "".join(f"{h:08x}" for h in a) and r.edited_fingerprint == "".join(f"{h:08x}" for h in b)
+        assert r.fingerprint == written(a) and r.edited_fingerprint == written(b)
         assert r.near_edited == pytest.approx(brute_likeness(a, b)) and r.near_next == pytest.approx(brute_likeness(a, c))
 
 
@@ -63,6 +67,17 @@ def test_query(spark):
     assert near[len(near) // 2] > 0.25 and other[int(0.95 * len(other))] < 0.05
 
 
+def test_small_overlaps_of_long_texts(make_docs):
+    """All anchors of a text count: a passage of 60 words in texts of 9,000 words is seen, and parts in another order differ."""
+    one, two, passage = ([f"{c}{i * i % 9973}" for i in range(n)] for c, n in (("a", 9000), ("b", 9000), ("p", 60)))
+    first, second = " ".join(one[:4000] + passage + one[4000:]), " ".join(two[:7000] + passage + two[7000:])
+    turned = " ".join(one[4000:] + passage + one[:4000])
+    got = {r.doc_id: r for r in syncmers.fingerprint_edits(make_docs([(1, first, "en", "a"), (2, second, "en", "a"), (3, turned, "en", "a")])).collect()}
+    assert 0 < got[1].near_next == pytest.approx(brute_likeness(brute_marks(first), brute_marks(second)))
+    assert got[3].near_next > 0.99 and got[3].fingerprint != got[1].fingerprint
+    assert got[1].fingerprint == written(brute_marks(first)) and len(brute_marks(first)) > 3000
+
+
 def test_anchors_keep_their_positions_and_do_not_see_their_surroundings(make_docs):
     shared = " ".join(f"w{i % 23}x{i}" for i in range(40))
     docs = make_docs([(1, "a b c " + shared, "en", "a"), (2, shared + " z y", "en", "a")])
