@@ -2,6 +2,11 @@
 
 Every stage takes all rows the one before kept, as written. All but the last return the columns of
 ``documents``; the last returns each document of the mix with its tokens.
+
+Null and empty texts and texts without a letter have no language and go in the first stage. Of repeated rows
+and near-duplicates the one with the smallest id stays, an unknown id after all others. Null sources are a
+source of their own. Texts of any length are read whole; an empty table gives an empty result, further
+columns are kept up to the last stage.
 """
 
 from __future__ import annotations

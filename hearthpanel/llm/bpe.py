@@ -1,4 +1,4 @@
-"""BPE encoding and decoding with bounded lookahead and constant memory.
+"""BPE encoding and decoding with bounded lookahead.
 
 Encoding. Merges run in rank order, and two texts with a common prefix can differ in their tokens
 only right of a frontier: it starts at the end of the prefix and moves left by len(a) whenever a rule
@@ -11,8 +11,9 @@ when it is full, emits the stable tokens and goes on with the rest.
 Decoding. ``Decoder`` is the reverse machine: it takes ids in pieces and gives text as soon as its
 UTF-8 bytes are complete.
 
-Nulls are encoded as empty texts. Texts are read whole; memory for a text beyond its own size and its
-ids is one buffer. Letters and numbers are those of the regex library's Unicode version (17); characters
+Nulls are encoded as empty texts; repeated rows get equal results and an empty table an empty one. Texts are
+read whole: the text, its normalised and lower-cased copies, its chunks and its ids are held beside one
+buffer. Letters and numbers are those of the regex library's Unicode version (17); characters
 assigned that late may be split otherwise by a library with an older one. Pre-tokens repeat, so each worker keeps those it met in a table of bounded size.
 """
 

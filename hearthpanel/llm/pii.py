@@ -5,10 +5,11 @@ security numbers and dates are found by their form and validated (check digits,
 value becomes the number of its place among all values of its format, that number is permuted by a
 keyed Feistel network, and the place it lands on is written back in the same format. Where only part of
 the numbers are valid values, the network is applied until it lands on a valid one, which is again a
-permutation. Equal values therefore get equal pseudonyms in all documents, different values different
-ones, and whoever has the key can undo them.
+permutation. Values written alike therefore get equal pseudonyms in all documents, different values different
+ones, and whoever has the key can undo them. The same value written with other separators is another format.
 
-Null texts stay null, texts without personal data stay as they are.
+Null texts stay null, empty texts and texts without personal data stay as they are. Repeated rows get equal
+results, an empty table an empty one; texts of any length are read whole.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ buckets most dependent on the label (chi-square above ``MIN_CHI2``) are learned
 Scoring reads every term of every whole text; terms that were not learned count nothing.
 
 Null and empty texts have no terms and score as the bias alone says. Several labels of one id: toxic if
-any is. Without labels of both kinds the score is the share of toxic ones, 0 if there are none.
+any is. Repeated rows get equal scores, an empty documents table an empty result. Without labels of both kinds the score is the share of toxic ones, 0 if there are none.
 """
 
 from __future__ import annotations
