@@ -8,7 +8,7 @@ from checks import views
 from checks.cleaning import consumption_long
 from checks.framework import Check
 from checks.views import START, codebook, households, view
-from hearthpanel.operators import clean, joins, reshape
+from hearthpanel.operators import clean, hot_joins, joins, reshape
 from hearthpanel.operators.ranking import position_groups
 
 CW_LONG = "SELECT * FROM cwl"
@@ -22,6 +22,16 @@ def wealth_parts(s, d):
     return [long.filter(F.col("var") == v).select("hid", "syear", "var", "imp", "value") for v in views.FAMILIES]
 
 
+QUANTITY_LEVELS = """SELECT l_returnflag, CAST(floor(l_quantity / 10) AS BIGINT) AS level, max(l_extendedprice) AS dearest
+    FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL"""
+
+
+def quantity_levels(s, d):
+    lines = s.read.parquet(f"{d}/lineitem.parquet").filter("l_returnflag <> 'A'")
+    level = F.floor(F.col("l_quantity") / 10).cast("long").alias("level")
+    return lines.groupBy("l_returnflag", level).agg(F.max("l_extendedprice").alias("dearest"))
+
+
 def two_specs(s, d):
     hw = view(s, d, "hw")
     return [hw.select("hid", "year", F.col("income").alias("value")), hw.select("hid", "year", F.col("age").cast("double").alias("value"))]
@@ -118,6 +128,17 @@ CHECKS = [
         lambda s, d: joins.chain_left_join(person_tables(s, d)),
         "SELECT * FROM py",
     ),
+    Check(
+        "split_hot_join",
+        "l_orderkey:i l_linenumber:i l_returnflag:s level:i dearest:r2",
+        # Three return flags hold all order lines, one of them half; one has no levels.
+        lambda s, d: hot_joins.split_join(
+            s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag"),
+            quantity_levels(s, d), ["l_returnflag"], cell_rows=1_000,
+        ),
+        f"""SELECT l_orderkey, l_linenumber, l.l_returnflag, level, dearest FROM lineitem AS l
+            LEFT JOIN ({QUANTITY_LEVELS}) AS q ON l.l_returnflag IS NOT DISTINCT FROM q.l_returnflag""",
+    ),
     Check(
         "codebook_join",
         "hid:i var:s code:s concept:s group:s value:r4",

@@ -3,32 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthpanel.operators.hot_joins import split_join
 from hearthpanel.operators.keyed import attach, group_stats, null_safe_join
 from hearthpanel.workspace import materialize
 
 
 def natural_left_join(
-    df: DataFrame, right: DataFrame, keys: Sequence[str] | None = None, known_keys: bool = False
+    df: DataFrame, right: DataFrame, keys: Sequence[str] | None = None, known_keys: bool = False, split_hot: bool = False
 ) -> DataFrame:
     """Left join on every shared column (or ``keys``); null keys match null keys.
 
     ``known_keys`` says that no key is null: then plain equality joins, which uses the buckets of tables
-    written by ``write_bucketed`` and moves no row.
+    written by ``write_bucketed`` and moves no row. ``split_hot`` looks for hot keys on both sides first and
+    spreads their rows (see ``hot_joins``); a key that only the left side holds often is also split by
+    adaptive execution.
     """
     shared = list(keys or [c for c in df.columns if c in right.columns])
     if known_keys:
         return df.join(right, shared, "left").select(*df.columns, *[c for c in right.columns if c not in shared])
-    return null_safe_join(df, right, shared)
+    return split_join(df, right, shared) if split_hot else null_safe_join(df, right, shared)
 
 
-def chain_left_join(dfs: Sequence[DataFrame], keys: Sequence[str] | None = None, known_keys: bool = False) -> DataFrame:
-    """Fold tables from the left by natural left joins."""
-    return reduce(lambda a, b: natural_left_join(a, b, keys, known_keys), dfs)
+def chain_left_join(
+    dfs: Sequence[DataFrame], keys: Sequence[str] | None = None, known_keys: bool = False, split_hot: bool = False
+) -> DataFrame:
+    """Fold tables from the left by natural left joins; with ``split_hot`` every result is written before the next."""
+    joined = dfs[0]
+    for i, right in enumerate(dfs[1:]):
+        left = materialize(joined, "chain") if split_hot and i else joined
+        joined = natural_left_join(left, right, keys, known_keys, split_hot)
+    return joined
 
 
 def unique_rows(table: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthpanel.operators.keyed import group_stats
@@ -119,30 +119,38 @@ def spell_age(
     )
 
 
+# Periods of a series that one task looks through together; any number gives the same rows.
+BLOCK = 4096
+
+
 def earlier_values(
     df: DataFrame, keys: Sequence[str], period: str, cols: dict[str, tuple[str, int]]
 ) -> DataFrame:
     """Values of earlier periods beside each row: new name -> (column, periods back).
 
-    (keys, period) must be unique, else the query stops. Every row is sent to the periods that look
-    back on it and one aggregation puts them together, so a long series spreads over many tasks.
+    (keys, period) must be unique, else the query stops; without a period nothing is earlier. A series is cut
+    into blocks of consecutive periods, and each block gets a copy of the last rows of the one before. Every row
+    is shuffled once, a long series spreads over many tasks, and a task's group has a block's periods at most.
     """
-    lags = sorted({back for _, back in cols.values()})
-    carried = [c for c in df.columns if c not in keys and c != period]
-    sent = df.withColumn("_back", F.explode(F.array(*[F.lit(back) for back in [0, *lags]]))).withColumn(
-        period, F.col(period) + F.col("_back")
+    reach = max(back for _, back in cols.values())
+    if min(back for _, back in cols.values()) < 1:
+        raise ValueError("earlier values lie at least one period back")
+    block = max(BLOCK, reach)
+    number = F.unix_date(period) if dict(df.dtypes)[period] == "date" else F.col(period)
+    last = F.pmod("_number", F.lit(block)) >= block - reach
+    placed = df.withColumn("_number", number.cast("long")).withColumn(
+        "_next", F.explode(F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     )
-
-    def at(back: int, c: str | Column) -> Column:
-        return F.max(F.when(F.col("_back") == back, c if isinstance(c, Column) else F.col(c)))
-
-    put = sent.withColumn("_period", F.col(period) - F.col("_back")).groupBy(*keys, period).agg(
-        F.count(F.when(F.col("_back") == 0, 1)).alias("_own"),
-        *[at(0, c).alias(c) for c in carried],
-        *[at(back, "_period" if c == period else c).alias(name) for name, (c, back) in cols.items()],
+    placed = placed.withColumn("_block", F.floor(F.col("_number") / block) + F.col("_next"))
+    ordered = Window.partitionBy(*keys, "_block").orderBy("_number")
+    looked = placed.withColumns(
+        {name: F.max(c).over(ordered.rangeBetween(-back, -back)) for name, (c, back) in cols.items()}
+        | {"_same": F.count(F.when(F.col("_next") == 0, 1)).over(ordered.rangeBetween(0, 0))}
     )
     twice = F.raise_error(F.concat(F.lit("more than one row in period "), F.col(period).cast("string"))).cast("boolean")
-    return put.filter(F.when(F.col("_own") > 1, twice).otherwise(F.col("_own") == 1)).select(*df.columns, *cols)
+    own = looked.filter((F.col("_next") == 0) & F.when((F.col("_same") > 1) & F.col("_number").isNotNull(), twice).otherwise(True))
+    known = {name: F.when(F.col("_number").isNotNull(), F.col(name)).alias(name) for name in cols}
+    return own.select(*df.columns, *known.values())
 
 
 def period_change(

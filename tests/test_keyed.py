@@ -89,3 +89,24 @@ def test_spell_age_resets_later_starts(spark, rows):
         "hid int, year int, YearMoved int, PanelYear int, pv int",
     )
     assert rows(panel.spell_age(df, 2017), "hid", "PanelAge", "pv") == [(1, 7, 1), (2, None, 1), (3, None, 0), (4, None, 0)]
+
+
+@pytest.mark.parametrize("block", [2, 3, 4096])
+def test_earlier_values_across_blocks(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(panel, "BLOCK", block)
+    periods = [t for t in range(-9, 40) if t % 7 != 3]
+    data = [("one", t, float(t * t)) for t in periods] + [(None, t, 1.0 * t) for t in periods] + [("one", None, 5.0), ("one", None, 6.0)]
+    df = spark.createDataFrame(data, "k string, t int, v double").repartition(5)
+    got = rows(panel.earlier_values(df, ["k"], "t", {"b": ("v", 1), "c": ("v", 3)}))
+    at = {(k, t): v for k, t, v in data if t is not None}
+    expected = [(k, t, v, *[None if t is None else at.get((k, t - n)) for n in (1, 3)]) for k, t, v in data]
+    assert got == sorted(expected, key=lambda r: tuple((x is not None, str(x)) for x in r))
+
+
+def test_earlier_values_shuffle_rows_once(spark):
+    df = spark.range(1000).select((F.col("id") * 0).alias("k"), F.col("id").alias("t"), F.col("id").alias("v"))
+    out = panel.earlier_values(df, ["k"], "t", {"b": ("v", 1)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and out.filter("b is not null").count() == 999
+    dates = df.select("k", F.date_add(F.lit("1969-12-30").cast("date"), F.col("t").cast("int")).alias("d"), "v")
+    assert panel.earlier_values(dates, ["k"], "d", {"b": ("v", 1)}).filter("b = v - 1").count() == 999
