@@ -1,5 +1,7 @@
 import datetime
+import ipaddress
 import re
+import unicodedata
 
 import pytest
 
@@ -120,3 +122,82 @@ def test_dates_with_the_month_first_are_permuted_among_themselves():
         if int(a.split("/")[1]) > 12:
             datetime.datetime.strptime(b, "%m/%d/%Y")
             assert int(b.split("/")[1]) > 12
+
+
+@pytest.mark.parametrize(
+    "kind,forms",
+    [
+        ("card", ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]),
+        ("iban", ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"]),
+        ("phone", ["+1 222 333 4444", "+12223334444", "+1 (222) 333-4444", "(222) 333-4444", "222.333.4444", "222-333-4444"]),
+        ("phone", ["+49 30 1234 5678", "+493012345678", "+49-30-12345678"]),
+        ("ip6", ["2001:db8:0:0:8:800:200c:417a", "2001:0db8:0000:0000:0008:0800:200c:417a", "2001:DB8::8:800:200C:417A"]),
+    ],
+)
+def test_a_value_has_one_pseudonym_in_all_its_forms(kind, forms):
+    def plain(text):
+        return ipaddress.ip_address(text).exploded if kind == "ip6" else re.sub(r"\W", "", text)[-22 if kind == "iban" else -10 :]
+
+    new = [P.text(f"see {f}, please")[0][4:-8] for f in forms]
+    assert len({plain(n) for n in new}) == 1 and not {plain(f) for f in forms} & {plain(n) for n in new}
+    if kind != "ip6":
+        assert [re.sub(r"\w", "9", f) for f in forms] == [re.sub(r"\w", "9", n) for n in new]
+
+
+def test_a_day_has_one_pseudonym_in_all_its_forms():
+    seen = set()
+    for i in range(0, 73049, 53):
+        d = datetime.date.fromordinal(pii._FIRST_DAY + i)
+        new = datetime.date.fromisoformat(P.value("iso", d.isoformat()))
+        seen.add(new)
+        assert P.value("dmy", f"{d.day}.{d.month}.{d.year}") == f"{new.day}.{new.month}.{new.year}"
+        assert P.value("dmy", f"{d.day:02}/{d.month:02}/{d.year}") == f"{new.day:02}/{new.month:02}/{new.year}"
+        if d.day > 12:
+            assert P.value("dmy", f"{d.month}/{d.day}/{d.year}") == f"{new.month}/{new.day}/{new.year}"
+    assert len(seen) == len(range(0, 73049, 53))
+
+
+@pytest.mark.parametrize("days", [days for days in pii._days().values() if len(days) < 6000])
+def test_days_are_permuted_within_their_class(days):
+    new = {P.value("iso", datetime.date.fromordinal(d).isoformat()) for d in days}
+    assert new == {datetime.date.fromordinal(d).isoformat() for d in days}
+
+
+@pytest.mark.parametrize("name", ["müller", "müller", "Ångström.É", "иванов", "νίκος", "o_neil+x"])
+def test_mail_names_of_other_alphabets(name):
+    new, n = P.text(f"an <{name}@example.com> und")
+    assert n == 1 and new.startswith("an <") and new.endswith("@example.com> und") and name[:2] not in new
+    assert len(new) == len(f"an <{name}@example.com> und")
+    assert [unicodedata.category(c) for c in new] == [unicodedata.category(c) for c in f"an <{name}@example.com> und"]
+
+
+def test_words_before_an_address_stay():
+    new, n = P.text("我的邮箱是abc@example.com")
+    assert n == 1 and new.startswith("我的邮箱是") and "abc@" not in new
+
+
+@pytest.mark.parametrize(
+    "text,form",
+    [
+        ("020 7946 0958", r"\d{3} \d{4} \d{4}"), ("01 23 45 67 89", r"\d\d( \d\d){4}"), ("0170 1234567", r"\d{4} \d{7}"),
+        ("fe80::1", r"fe80::[0-9a-f]{1,4}"), ("2001:db8::ff00:42:8329", r"2001:[0-9a-f]+::[0-9a-f]+:[0-9a-f]+:[0-9a-f]+"),
+    ],
+)
+def test_national_numbers_and_long_addresses(text, form):
+    new, n = P.text(f"call {text} now")
+    assert n == 1 and new != f"call {text} now" and re.fullmatch(f"call {form} now", new)
+
+
+@pytest.mark.parametrize("text", ["at 1234:56:78", "add1::face", "01 02 03", "0123 456 78", "dead::", "cafe:babe", "2001::", "12:30:45:99"])
+def test_what_only_looks_alike_stays(text):
+    assert P.text(text) == (text, 0)
+
+
+def test_query_against_every_value_alone(spark):
+    """The whole query against each document on its own, by a fresh state without its cache."""
+    sf = "/root/testdata/sf0.001"
+    fresh = pii.Pseudonyms(pii.KEY)
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op7_pii(spark, sf).collect():
+        fresh.known.clear()
+        assert (r.text, r.n_values) == fresh.text(before[r.doc_id])
