@@ -5,7 +5,8 @@ their beginnings of ``PREFIXES`` letters, which tie the inflected forms of a wor
 pair such as an insult with the mention of a group can count for more than both words alone.
 
 Learning is bounded: ``MAX_DOCS`` labelled documents by hash of the id, from which the ``MAX_TERMS``
-buckets most dependent on the label (chi-square above ``MIN_CHI2``) are learned by full-batch descent.
+buckets most dependent on the label (chi-square above ``MIN_CHI2``) are learned by full-batch descent, and with them
+those (as many again) that depend on it together with another term (``term_pairs``, both conditional chi-squares above ``PAIR_CHI2``).
 Scoring reads every term of every whole text; terms that were not learned count nothing.
 
 Null and empty texts have no terms and score as the bias alone says. Several labels of one id: toxic if
@@ -25,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthpanel.llm.common import pick, remainder
+from hearthpanel.llm.term_pairs import joint_terms
 from hearthpanel.workspace import materialize
 
 BUCKETS = 1 << 20
 MAX_DOCS = 20_000
 MAX_TERMS = 2_000
 MIN_CHI2 = 24.0
+PAIR_CHI2 = 40.0
 FACTORS = 4
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 7)
@@ -154,7 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     gap = (F.col("a") * F.lit(n - toxic) - b * F.lit(toxic)).cast("double")
     chi2 = F.try_divide(gap * gap * float(n), F.lit(float(toxic) * (n - toxic)) * F.col("m") * (F.lit(n) - F.col("m")))
     best = counts.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).filter((F.col("chi2") >= MIN_CHI2) & (F.col("m") >= 3))
-    chosen = sorted(r.term for r in best.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect())
+    alone = best.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
+    joint = joint_terms(rows, PAIR_CHI2).orderBy(F.desc("joint"), "term").limit(MAX_TERMS).collect()
+    chosen = sorted({r.term for r in alone} | {r.term for r in joint})
     place = {t: i for i, t in enumerate(chosen)}
     kept = F.array_intersect("terms", F.array(*[F.lit(t) for t in chosen]).cast("array<int>"))
     sample = rows.select("doc_id", "toxic", kept.alias("terms")).collect()

@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from hearthpanel.llm import queries, toxicity
+from hearthpanel.llm import queries, term_pairs, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -72,3 +73,63 @@ def test_edges(spark, make_docs, edge_rows):
     none = toxicity.toxicity(docs, labelled(spark, [])).collect()
     assert all(r.score < 1e-9 and r.predicted == 0 for r in none)
     assert toxicity.toxicity(make_docs([]), labels).count() == 0
+
+
+def planted(spark, toxic, n=1500):
+    """Documents of filler with two words, each in half of the documents; ``toxic`` decides by both."""
+    rng = random.Random(5)
+    filler = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}filler{chr(97 + i % 17)}" for i in range(200)]
+    docs, labels = [], []
+    for i in range(n):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        text = rng.sample(filler, 12) + ["grobian"] * insult + ["mention"] * group
+        rng.shuffle(text)
+        docs.append((i, " ".join(text), insult, group))
+        labels.append((i, int(toxic(insult, group)), 0, "t"))
+    table = spark.createDataFrame([d[:2] for d in docs], "doc_id bigint, text string")
+    return docs, table, labelled(spark, labels)
+
+
+@pytest.mark.parametrize(
+    "toxic", [lambda a, b: a and b, lambda a, b: a == b], ids=["only together", "each word alone independent of the label"]
+)
+def test_train_learns_a_planted_pair(spark, toxic):
+    docs, table, labels = planted(spark, toxic)
+    model = toxicity.train(table, labels, F.col("doc_id") % 3 != 1)
+    assert {zlib.crc32(w.encode()) % toxicity.BUCKETS for w in ("grobian", "mention")} <= set(model.buckets)
+    scorer = toxicity.Scorer(model)
+    held = [((scorer.score(t) >= 0.5), bool(toxic(a, b))) for i, t, a, b in docs if i % 3 == 1]
+    assert np.mean([got == want for got, want in held]) > 0.97
+
+
+def test_joint_terms_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(term_pairs, "TILE", 3)
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        terms = [t for t in range(11) if rng.random() < (0.1 + 0.07 * t)]
+        rows.append((i, int((1 in terms) != (7 in terms) or (9 in terms and 10 in terms)), terms + terms[:2]))
+    table = spark.createDataFrame(rows, "doc_id bigint, toxic int, terms array<int>")
+    got = {r.term: r.joint for r in term_pairs.joint_terms(table, 8.0).collect()}
+
+    def chi2(docs, t):
+        n, toxic = len(docs), sum(d[1] for d in docs)
+        m, a = sum(t in d[2] for d in docs), sum(d[1] for d in docs if t in d[2])
+        below = toxic * (n - toxic) * m * (n - m)
+        return (a * (n - toxic) - (m - a) * toxic) ** 2 * n / below if below else 0.0
+
+    want = {}
+    for s in range(11):
+        for t in range(11):
+            both = min(chi2([r for r in rows if s in r[2]], t), chi2([r for r in rows if t in r[2]], s)) if s != t else 0
+            if both >= 8.0:
+                want[s] = max(want.get(s, 0), both)
+    assert got.keys() == want.keys() and {1, 7} <= got.keys()
+    assert all(abs(got[t] - want[t]) < 1e-6 for t in got)
+
+
+def test_joint_terms_edges(spark):
+    schema = "doc_id bigint, toxic int, terms array<int>"
+    assert term_pairs.joint_terms(spark.createDataFrame([], schema), 40.0).count() == 0
+    same = spark.createDataFrame([(i, 1, [1, 2, None]) for i in range(60)] + [(None, 0, None)], schema)
+    assert term_pairs.joint_terms(same, 40.0).count() == 0
