@@ -34,6 +34,8 @@ RULES = (
 )
 LEAST_COUNT = 3
 LONGEST_WORD = 24
+# Letters of a name whose pieces one row holds; any number gives the same words.
+SLICE = 1024
 BUCKETS = 1 << 18
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PART = "[a-z]+|[0-9]+"
@@ -109,13 +111,19 @@ def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     # Long names are not repeated for each of their pieces.
     key = F.when(F.length("name") > 32, F.concat(F.lit("#"), F.md5("name"))).otherwise(F.col("name"))
     names = names.withColumn("key", key)
-    ends = lambda i: F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - i + 1))
-    at = lambda i: F.transform(ends(i), lambda k: F.substr("name", i, k))
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), at))
-    pieces = names.select("key", F.explode(F.array_distinct(every)).alias("word"))
+    # Long names are cut into slices, each with the beginning of the next, so no row holds more than a slice's pieces.
+    cut = lambda i: F.substr("name", i * SLICE + 1, F.lit(SLICE + LONGEST_WORD - 1))
+    last = F.floor((F.length("name") - 1) / SLICE).cast("int")
+    slices = names.select("key", F.explode(F.transform(F.sequence(F.lit(0), last), cut)).alias("slice"))
+    ends = lambda i: F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("slice") - i + 1))
+    at = lambda i: F.transform(ends(i), lambda k: F.substr("slice", i, k))
+    starts = F.sequence(F.lit(1), F.least(F.lit(SLICE), F.length("slice")))
+    pieces = slices.select("key", F.explode(F.array_distinct(F.flatten(F.transform(starts, at)))).alias("word"))
     known = null_safe_join(pieces.groupBy("word").agg(F.count(F.lit(1)).alias("rows")), counts, ["word"], "inner")
     found = attach(pieces, known, ["word"], "rows").filter("n is not null")
-    found = found.groupBy("key").agg(F.collect_list("word").alias("found"), F.collect_list("n").alias("ns"))
+    # Slices of one name share words.
+    found = found.groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("found"))
+    found = found.select("key", F.col("found.word").alias("found"), F.col("found.n").alias("ns"))
 
     @F.arrow_udf("array<string>")
     def run(names: pa.Array, found: pa.Array, ns: pa.Array) -> pa.Array:

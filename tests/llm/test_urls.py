@@ -111,3 +111,21 @@ def test_words_by_join_are_those_of_one_segmenter(spark):
             for part in re.findall("[a-z]+|[0-9]+", text):
                 want += [mark + w for w in (("0",) if part.isdigit() else one.split(part))]
         assert r.words == want
+
+
+def test_slices_of_a_name_give_the_words_of_one_segmenter(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SLICE", 7)
+    words = {"alpha": 9, "beta": 7, "alphabeta": 1, "et": 4, "gamma": 3, "extraordinarilylongwords": 2}
+    counts = spark.createDataFrame(list(words.items()), "word string, n bigint")
+    names = ["alphabetagamma", "betaxyzextraordinarilylongwordsalpha" * 3, "a", "zzzzzzz", "alphabe" * 30]
+    table = spark.createDataFrame([(n, 1) for n in names], "name string, rows bigint")
+    got = {r.name: r.words for r in urls.split_names(table, counts).collect()}
+    one = urls.Segmenter(words.items())
+    assert got == {n: list(one.split(n)) for n in names}
+
+
+def test_a_very_long_run_of_letters(spark):
+    name = "alphabeta" * 45_000
+    counts = spark.createDataFrame([("alpha", 5), ("beta", 5)], "word string, n bigint")
+    [row] = urls.split_names(spark.createDataFrame([(name, 1)], "name string, rows bigint"), counts).collect()
+    assert row.words == ["alpha", "beta"] * 45_000
