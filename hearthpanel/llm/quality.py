@@ -12,8 +12,8 @@ source and distance bin with sums of products, so no group is ever gathered or s
 documents are whole bins. Vectors are rounded to 1/256, which makes all sums exact and reruns equal.
 
 Every statistic has a least spread (``LEAST_SPREAD``): where most texts of a group agree exactly, small
-departures are no outliers. Groups of fewer than ``LEAST_ROWS`` documents are judged by the estimate of
-their language over all sources or, if that has too few as well, of all documents. Null texts count as empty, null languages and sources are groups of their own, repeated rows get
+departures are no outliers. An estimate is drawn to that of the language over all sources, and this to that of
+all documents, with the weight of ``PRIOR_ROWS`` documents, so groups of any size are judged by one rule. Null texts count as empty, null languages and sources are groups of their own, repeated rows get
 equal results, an empty table gives an empty result.
 """
 
@@ -38,6 +38,7 @@ SHARE = 0.75
 STEPS = 5
 CUTOFF = 0.99999
 LEAST_ROWS = 40
+PRIOR_ROWS = 40
 _GRID = 256
 _P = len(STATISTICS)
 
@@ -186,7 +187,7 @@ def _moments(rows: DataFrame, keys: list[str], widen: float) -> DataFrame:
 
 
 def estimate(vectors: DataFrame, keys: list[str], steps: int = STEPS, least: int = LEAST_ROWS) -> DataFrame:
-    """keys, n, mean and spread (lower triangle) per group with enough rows; ``vectors`` hold array ``x``."""
+    """keys, n, mean and spread (lower triangle) per group of ``least`` rows or more; ``vectors`` hold array ``x``."""
     groups = materialize(_start(vectors, keys).filter(F.col("n") >= least), "groups")
     limit = chi_square_quantile(SHARE, _P)
     # A normal distribution cut at its share is narrower than the whole one.
@@ -199,33 +200,33 @@ def estimate(vectors: DataFrame, keys: list[str], steps: int = STEPS, least: int
 
 
 def estimates(judged: DataFrame) -> DataFrame:
-    """lang, source, n (rows), mean and spread of every group of ``judged``: the estimate of the group, of its
-    language or of all documents, the first with enough documents that pass the base rule. That of all
-    documents takes any number: the least spreads keep it from being singular."""
+    """lang, source, n (rows), mean and spread of every group of ``judged``: the estimate of the group drawn to that of
+    its language, which is drawn to that of all documents, each with the weight of ``PRIOR_ROWS`` documents."""
     keys = ["lang", "source"]
-    sizes = judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("base_failed")).alias("passed"))
-    sizes = materialize(sizes, "sizes")
+    sizes = materialize(judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "sizes")
     vectors = materialize(judged.filter(~F.col("base_failed")).select(*keys, "x"), "vectors")
-    groups = null_safe_join(sizes, estimate(vectors, keys).select(*keys, "mean", "spread"), keys)
-    few = F.bool_or(F.col("passed") < LEAST_ROWS).alias("few")
-    langs = materialize(sizes.groupBy("lang").agg(F.sum("passed").alias("passed"), few).filter("few"), "langs")
-    enough = F.col("passed") >= LEAST_ROWS
-    if not langs.filter(enough).isEmpty():
-        some = null_safe_join(vectors, langs.filter(enough).select("lang"), ["lang"], "left_semi")
-        wide = estimate(some.select("lang", "x"), ["lang"])
-        groups = _filled(null_safe_join(groups, wide.select("lang", F.col("mean").alias("_mean"), F.col("spread").alias("_spread")), ["lang"]))
-    if not langs.filter(~enough).isEmpty():
-        every = materialize(vectors.select(F.lit("").alias("lang"), "x"), "vectors")
-        whole = estimate(every, ["lang"], least=1).first()
-        if whole:
-            number = lambda xs: F.array(*map(F.lit, xs))
-            groups = _filled(groups.withColumns({"_mean": number(whole["mean"]), "_spread": number(whole.spread)}))
-    return groups.drop("passed")
-
-
-def _filled(groups: DataFrame) -> DataFrame:
-    """Groups without an estimate take the one in ``_mean`` and ``_spread``."""
-    return groups.withColumns({c: F.coalesce(c, f"_{c}") for c in ("mean", "spread")}).drop("_mean", "_spread")
+    whole = estimate(vectors.select(F.lit(0).alias("all"), "x"), ["all"], least=1).first()
+    if whole is None:
+        empty = F.lit(None).cast("array<double>")
+        return sizes.withColumns({"mean": empty, "spread": empty})
+    number = lambda xs: F.array(*map(F.lit, xs))
+    langs = null_safe_join(sizes.select("lang").distinct(), _passing(estimate(vectors.select("lang", "x"), ["lang"], least=1)), ["lang"])
+    langs = _drawn(langs.withColumns({"_mean": number(whole["mean"]), "_spread": number(whole.spread)}))
+    langs = materialize(langs.withColumnsRenamed({"mean": "_mean", "spread": "_spread"}), "langs")
+    groups = null_safe_join(sizes, _passing(estimate(vectors, keys, least=1)), keys)
+    return _drawn(null_safe_join(groups, langs, ["lang"]))
+
+
+def _passing(groups: DataFrame) -> DataFrame:
+    return groups.withColumnRenamed("n", "_passed")
+
+
+def _drawn(groups: DataFrame) -> DataFrame:
+    """mean and spread of ``_passed`` documents, if there are any, drawn to ``_mean`` and ``_spread``."""
+    part = F.coalesce(F.col("_passed") / (F.col("_passed") + F.lit(PRIOR_ROWS)), F.lit(0.0))
+    mix = lambda own, wide: own * part + wide * (1 - part)
+    drawn = {c: F.zip_with(F.coalesce(c, f"_{c}"), f"_{c}", mix) for c in ("mean", "spread")}
+    return groups.withColumns(drawn).drop("_mean", "_spread", "_passed")
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -111,3 +111,29 @@ def test_small_groups_are_judged(spark, make_docs):
     assert not any(r.base_failed for r in got.values())
     alone = quality.quality(make_docs(few + outliers[1:2])).collect()
     assert {r.doc_id for r in alone if not r.kept} == {901}
+
+
+def test_small_groups_are_drawn_to_their_language(spark):
+    rng = np.random.default_rng(8)
+    sizes = {("en", "a"): 500, ("en", "b"): 37, ("en", "c"): 43, ("de", "a"): 3, (None, None): 1}
+    data = {g: np.rint(rng.normal(size=(n, 5)) * 100 + 300 * i) for i, (g, n) in enumerate(sizes.items())}
+    rows = [(*g, False, [float(v) for v in row]) for g, x in data.items() for row in x] + [("fr", "a", True, [0.0] * 5)]
+    judged = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, x array<double>")
+    got = {(r.lang, r.source): r for r in quality.estimates(judged).collect()}
+
+    def mcd(x):
+        mean, spread = brute_mcd(x, quality.STEPS)
+        return mean, spread[np.tril_indices(5)]
+
+    def drawn(own, wide, n):
+        return [(n * a + quality.PRIOR_ROWS * b) / (n + quality.PRIOR_ROWS) for a, b in zip(own, wide)]
+
+    whole = mcd(np.concatenate(list(data.values())))
+    for lang in ("en", "de", None):
+        inside = np.concatenate([x for g, x in data.items() if g[0] == lang])
+        of_lang = drawn(mcd(inside), whole, len(inside))
+        for g, x in data.items():
+            if g[0] == lang:
+                mean, spread = drawn(mcd(x), of_lang, len(x))
+                assert got[g].n == len(x) and np.allclose(got[g]["mean"], mean) and np.allclose(got[g].spread, spread)
+    assert np.allclose(got["fr", "a"]["mean"], whole[0]) and len(got) == 6
