@@ -7,8 +7,8 @@ mention that are toxic only together pass, whatever they say alone. A chi-square
 in fewer than ``least`` documents cannot pass and need not be compared; no other pair is left out.
 
 Terms are the rows of a matrix of documents, in packed bits and tiles of ``TILE`` terms. Tiles meet in pairs and a
-pair of tiles is two matrix products, one of all and one of the labelled documents. A task holds two tiles; documents
-are a bounded sample, so a tile has a known size.
+pair of tiles is two matrix products, one of all and one of the labelled documents. Tiles are broadcast in rounds of at
+most ``ROUND_BYTES``, more rounds for more terms, so no pair of tiles is shuffled and a task holds two unpacked tiles.
 
 Repeated terms of a document count once, null terms as none; without documents of both labels nothing is found.
 """
@@ -26,6 +26,7 @@ from hearthpanel.llm.common import with_ordinal
 from hearthpanel.workspace import materialize
 
 TILE = 512
+ROUND_BYTES = 32 << 20
 
 
 def _chi2(a: np.ndarray, m: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -68,8 +69,8 @@ def joint_terms(rows: DataFrame, least: float) -> DataFrame:
     tiles = materialize(tiled.groupBy("tile").applyInPandas(packed, "tile bigint, terms array<int>, bits binary"), "tiles")
     last = tiles.agg(F.coalesce(F.max("tile"), F.lit(-1))).first()[0]
     other = tiles.select(F.col("tile").alias("other"), F.col("terms").alias("terms2"), F.col("bits").alias("bits2"))
-    # A tile is sent to those at or after it; every pair of tiles is one row. A tile has at most 1.3 MB.
-    pairs = tiles.withColumn("other", F.explode(F.sequence("tile", F.lit(last).cast("long")))).join(other, "other")
+    # A row of a tile is a bit per document and the number of its term.
+    step = max(1, ROUND_BYTES // (TILE * ((n + 7) // 8 + 4)))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -80,6 +81,12 @@ def joint_terms(rows: DataFrame, least: float) -> DataFrame:
                 i, j = np.nonzero(both >= least)
                 yield pd.DataFrame({"term": np.concatenate([t1[i], t2[j]]), "joint": np.tile(both[i, j], 2)})
 
-    spread = pairs.repartition(max(1, min((last + 1) * (last + 2) // 2, 400)), "tile", "other")
-    found = spread.mapInPandas(compared, "term int, joint double")
+    found = docs.sparkSession.createDataFrame([], "term int, joint double")
+    spread = tiles.repartition(max(1, min(last + 1, 400)), "tile")
+    for begin in range(0, last + 1, step):
+        # A tile meets itself and those after it.
+        some = F.broadcast(other.filter(F.col("other").between(begin, begin + step - 1)))
+        pairs = spread.join(some, F.col("tile") <= F.col("other"))
+        hits = pairs.mapInPandas(compared, "term int, joint double").groupBy("term").agg(F.max("joint").alias("joint"))
+        found = found.unionByName(materialize(hits, "joint"))
     return found.groupBy("term").agg(F.max("joint").alias("joint"))

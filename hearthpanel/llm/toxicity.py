@@ -33,7 +33,8 @@ BUCKETS = 1 << 20
 MAX_DOCS = 20_000
 MAX_TERMS = 2_000
 MIN_CHI2 = 24.0
-PAIR_CHI2 = 40.0
+# A chi-square of n documents is n at most, so words in fewer documents of the sample have no pair.
+PAIR_CHI2 = 200.0
 FACTORS = 4
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 7)

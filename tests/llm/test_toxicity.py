@@ -133,3 +133,13 @@ def test_joint_terms_edges(spark):
     assert term_pairs.joint_terms(spark.createDataFrame([], schema), 40.0).count() == 0
     same = spark.createDataFrame([(i, 1, [1, 2, None]) for i in range(60)] + [(None, 0, None)], schema)
     assert term_pairs.joint_terms(same, 40.0).count() == 0
+
+
+def test_rounds_of_tiles_give_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, i % 2, [t for t in range(9) if (i * 7 + t * i) % (t + 2) < 2 or rng.random() < 0.2]) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id bigint, toxic int, terms array<int>")
+    monkeypatch.setattr(term_pairs, "TILE", 2)
+    want = sorted(map(tuple, term_pairs.joint_terms(table, 3.0).collect()))
+    monkeypatch.setattr(term_pairs, "ROUND_BYTES", 1)
+    assert want and sorted(map(tuple, term_pairs.joint_terms(table, 3.0).collect())) == want
