@@ -18,6 +18,10 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows of one file of an intermediate table. A table of a few megabytes may hold millions of rows, and every
+# row may carry much work; a file is the least that Spark hands to a task. Any number gives the same rows.
+FILE_ROWS = 100_000
+
 _roots: dict[str, str] = {}
 _scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
@@ -42,9 +46,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+    """Write ``df`` once and return a scan of the written table.
+
+    Files are cut by rows, so the scan spreads over tasks as rows grow, however well they compress and
+    however few tasks wrote them.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -46,3 +46,13 @@ def test_nested_and_failing_scopes(spark):
             raise RuntimeError
     assert tables(spark) == before
     assert workspace.materialize(df).count() == 10 and len(tables(spark)) > len(before)
+
+
+def test_scan_spreads_over_tasks_as_rows_grow(spark):
+    """A table that one task wrote in few bytes is read by several tasks, with the same rows."""
+    df = spark.range(200_001).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("few")).coalesce(1)
+    written = workspace.materialize(df)
+    assert written.rdd.getNumPartitions() > 1
+    assert sorted(map(tuple, written.groupBy("few").count().collect()), key=str) == sorted(
+        map(tuple, df.groupBy("few").count().collect()), key=str
+    )
