@@ -70,6 +70,21 @@ def test_unknown_tiebreaks_come_first(spark, rows):
     assert got == sorted(((i, place[i] // 5 + 1) for i in range(20)), key=lambda r: tuple((True, str(v)) for v in r))
 
 
+def test_a_limit_is_met_in_one_comparison(spark):
+    """Nulls first, as rows are sorted; one comparison a limit keeps the code short."""
+    places = [float("-inf"), -2.0, 0.0, 1.5, float("inf")]
+    data = [(v, t, i) for v in places for t, i in ((4, 0), (None, 2), (3, 1), (None, 1), (3, None))]
+    df = spark.createDataFrame(data, "v double, t int, i int")
+    ranked = ranking.ntile_groups(df, "v", 10, ["t", "i"])
+    # The five rows of a value by hand: nulls of t, then of i, come first; 25 rows make five groups of 3 and five of 2.
+    at = {(v, t, i): 5 * k + place for k, v in enumerate(places)
+          for place, (t, i) in enumerate(((None, 1), (None, 2), (3, None), (3, 1), (4, 0)))}
+    for r in ranked.collect():
+        rank = at[r.v, r.t, r.i]
+        assert r.group == (rank // 3 + 1 if rank < 15 else 6 + (rank - 15) // 2)
+    assert "<=>" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_text_is_ranked(spark, rows):
     df = spark.createDataFrame([(c, i) for i, c in enumerate("dbacfe")], "v string, id int")
     assert rows(ranking.ntile_groups(df, "v", 3, ["id"]), "v", "group") == [("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 3), ("f", 3)]
