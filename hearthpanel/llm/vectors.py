@@ -1,14 +1,16 @@
-"""Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
+"""Near-duplicate vectors by hierarchical navigable graphs, one per shard.
 
 Equal vectors are one class. Classes are spread over shards by key; a shard's task builds the graph of its
 members and then answers queries as they stream by: every vector queries its own shard, and of any two shards
 one sends its vectors to the other, so every pair is looked for once. All searches of a block step together
-through the graph in numpy: a greedy descent through the upper layers, then a beam of the closest members.
+through the graph in numpy: a beam of the closest nodes of each layer, down to their members. The queries that
+open the same node are compared with its members in one matrix product.
 
-Beams widen until they hold all links. A search whose whole beam is linked is repeated with four times the
-beam. Of every block some queries are also compared with all members of the shard; if the beams found less
-than ``RECALL`` of these links, the shard's beam is doubled and the block searched again. Where a beam would
-reach a sixteenth of the shard the query is compared with all its members instead, which is exact.
+Beams widen until they hold all links. A search that finds links in the farther quarter of its beam goes on
+with four times the beam. When the graph is built, and of every block, some queries are also compared with all
+members of the shard; if the beams found less than ``RECALL`` of these links, or of those of the mean query,
+the shard's beam is doubled. Where a beam would reach a quarter of the nodes the queries are compared with all
+members instead, which is exact.
 
 Found pairs are verified by cosine in double precision. A task reports sums, not pairs: the number of links
 of each vector, and a spanning forest, one row per vector at most. Components of the forests are united by
@@ -22,6 +24,7 @@ component of unknown ids only has a null id and keeps all. An empty table gives
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,14 @@ from hearthpanel.workspace import materialize
 COSINE = 0.9
 # Shards: at least so many, and one more for each so many vectors a task can hold with their graph.
 SHARDS, CAPACITY = 6, 1 << 20
-LINKS, LINKS_AT_BOTTOM = 12, 24
+# Members a node; layers of up to so many nodes are compared with as a whole.
+RATIO, FLAT = 60, 1 << 14
 BEAM, BUILD_BEAM = 48, 48
-RECALL, AUDITED = 0.99, 64
-BLOCK = 1024
+RECALL, AUDITED, FITTED = 0.99, 64, 1024
+BLOCK = 8192
 _MARGIN = 1e-4  # single precision of the search
-_FLAGS = 32 << 20  # bytes of visited marks
+_FLAGS = 4 << 20  # marks of opened cells at a time
+_TILE = 4 << 20  # similarities at a time
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -52,146 +57,107 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    """A navigable small-world graph over unit vectors, filled batch by batch."""
+    """A navigable layered graph over unit vectors.
+
+    Layer 0 has all members, every further layer one of ``RATIO`` members of the layer below, drawn. A node of
+    a layer is linked with those members of the layer below that it is the closest node of, its cell: in
+    ``layers[k]`` the members of layer k stand cell by cell, ``begins[k]`` tells where the cells begin.
+    """
 
     def __init__(self, exact: np.ndarray, seed: int = 1) -> None:
         self.exact, self.x = exact, exact.astype(np.float32)
-        n = len(exact)
-        rng = np.random.default_rng(seed)
-        self.level = np.floor(-np.log(1 - rng.random(n)) / np.log(LINKS)).astype(np.int64)
-        # Members by level, highest first, keep upper layers small; within a level the order is drawn.
-        order = np.lexsort((rng.random(n), -self.level))
-        self.layers: list[np.ndarray] = []
-        top = int(self.level.max(initial=0))
-        for layer in range(top + 1):
-            width = LINKS_AT_BOTTOM if layer == 0 else LINKS
-            self.layers.append(np.full((n, width), -1, np.int32))
-        self.entry = int(order[0]) if n else -1
-        done, size = 1, 16
-        while done < n:
-            self._insert(order[done : done + size])
-            done += min(size, n - done)
-            size = min(BLOCK, done)
-
-    def _descend(self, q: np.ndarray, layer: int) -> np.ndarray:
-        """The closest member found in the layers above ``layer``, for each query."""
-        at = np.full((len(q), 1), self.entry, np.int64)
-        for upper in range(len(self.layers) - 1, layer, -1):
-            at = self.beam(q, at, 1, upper)[0][:, :1]
-        return at
-
-    def beam(self, q: np.ndarray, start: np.ndarray, width: int, layer: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Members and similarities, best first; missing members are -1."""
-        rows = max(1, _FLAGS // max(1, len(self.x)))
-        parts = [self._beam(q[b : b + rows], start[b : b + rows], width, layer) for b in range(0, len(q), rows)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-    def _beam(self, q: np.ndarray, start: np.ndarray, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
-        links, n = self.layers[layer], len(q)
-        each = np.arange(n)
-        ids = np.full((n, width), -1, np.int64)
-        sims = np.full((n, width), -np.inf, np.float32)
-        open_ = np.zeros((n, width), bool)
-        seen = np.zeros((n, len(self.x)), bool)
-        k = min(width, start.shape[1])
-        ids[:, :k] = start[:, :k]
-        sims[:, :k] = np.where(start[:, :k] >= 0, np.einsum("ij,ikj->ik", q, self.x[start[:, :k]]), -np.inf)
-        open_[:, :k] = start[:, :k] >= 0
-        seen[each[:, None], np.maximum(start[:, :k], 0)] = start[:, :k] >= 0
-        active = each
-        while len(active):
-            best = np.where(open_[active], sims[active], -np.inf).argmax(axis=1)
-            going = open_[active, best]
-            active, best = active[going], best[going]
-            if not len(active):
-                break
-            open_[active, best] = False
-            near = links[ids[active, best]].astype(np.int64)
-            fresh = (near >= 0) & ~seen[active[:, None], near]
-            row, col = np.nonzero(fresh)
-            member = near[row, col]
-            seen[active[row], member] = True
-            found = np.full(near.shape, -np.inf, np.float32)
-            found[row, col] = np.einsum("ij,ij->i", q[active[row]], self.x[member])
-            # Only what beats the worst of its beam goes on.
-            better = (found > sims[active].min(axis=1)[:, None]).any(axis=1)
-            some = active[better]
-            if not len(some):
-                continue
-            all_sims = np.concatenate([sims[some], found[better]], axis=1)
-            keep = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-            all_ids = np.concatenate([ids[some], near[better]], axis=1)
-            all_open = np.concatenate([open_[some], fresh[better]], axis=1)
-            sims[some] = np.take_along_axis(all_sims, keep, 1)
-            ids[some] = np.where(np.isfinite(sims[some]), np.take_along_axis(all_ids, keep, 1), -1)
-            open_[some] = np.take_along_axis(all_open, keep, 1) & np.isfinite(sims[some])
-        order = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-
-    def _diverse(self, ids: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
-        """Of candidates (best first) those closer to the node than to what was chosen before; then the closest."""
-        n, k = ids.shape
-        vectors = self.x[np.maximum(ids, 0)]
-        between = np.matmul(vectors, vectors.transpose(0, 2, 1))
-        chosen = np.zeros((n, k), bool)
-        closest = np.full((n, k), -np.inf, np.float32)  # to any chosen one
-        for j in range(k):
-            take = (ids[:, j] >= 0) & (sims[:, j] > closest[:, j]) & (chosen.sum(axis=1) < width)
-            chosen[:, j] = take
-            np.maximum(closest, np.where(take[:, None], between[:, j], -np.inf), out=closest)
-        rank = np.where(chosen, 0, np.where(ids >= 0, 1, 2)) * k + np.arange(k)
-        first = np.argsort(rank, axis=1, kind="stable")[:, :width]
-        out = np.full((n, width), -1, np.int64)
-        out[:, : first.shape[1]] = np.take_along_axis(ids, first, 1)
-        return out
-
-    def _insert(self, new: np.ndarray) -> None:
-        q = self.x[new]
-        chosen = {}  # first all searches, then all links: a search must not meet its own batch
-        for layer in range(int(self.level[new].max()), -1, -1):
-            rows = np.flatnonzero(self.level[new] >= layer)
-            width = self.layers[layer].shape[1]
-            start = self._descend(q[rows], layer)
-            ids, sims = self.beam(q[rows], start, BUILD_BEAM, layer)
-            if len(rows) > 1:  # members of one batch do not find each other in the graph
-                own = q[rows] @ q[rows].T
-                np.fill_diagonal(own, -np.inf)
-                k = min(width, len(rows) - 1)
-                close = np.argpartition(-own, k - 1, axis=1)[:, :k]
-                ids = np.concatenate([ids, new[rows][close]], axis=1)
-                sims = np.concatenate([sims, np.take_along_axis(own, close, 1)], axis=1)
-                order = np.argsort(-sims, axis=1, kind="stable")
-                ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-            chosen[layer] = new[rows], self._diverse(ids, sims, width)
-        for layer, (nodes, near) in chosen.items():
-            self.layers[layer][nodes] = near
-            self._link_back(layer, nodes, near)
-
-    def _link_back(self, layer: int, new: np.ndarray, chosen: np.ndarray) -> None:
-        links = self.layers[layer]
-        width = links.shape[1]
-        row, col = np.nonzero(chosen >= 0)
-        target, source = chosen[row, col], new[row]
-        sims = np.einsum("ij,ij->i", self.x[target], self.x[source])
-        order = np.lexsort((-sims, target))
-        target, source = target[order], source[order]
-        begin = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-        place = np.arange(len(target)) - np.repeat(begin, np.diff(np.r_[begin, len(target)]))
-        kept = place < width  # the closest of the new ones
-        target, source, place = target[kept], source[kept], place[kept]
-        nodes, at = np.unique(target, return_inverse=True)
-        ids = np.full((len(nodes), 2 * width), -1, np.int64)
-        ids[:, :width] = links[nodes]
-        ids[at, width + place] = source
-        # A link that is there already is not taken twice.
-        again = (ids[:, width:, None] == ids[:, None, :width]).any(axis=2)
-        ids[:, width:][again] = -1
-        sims = np.where(ids >= 0, np.einsum("ij,ikj->ik", self.x[nodes], self.x[np.maximum(ids, 0)]), -np.inf)
-        order = np.argsort(-sims, axis=1, kind="stable")
-        links[nodes] = self._diverse(np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), width)
+        drawn = np.random.default_rng(seed).permutation(len(exact))
+        sizes = [len(exact)]
+        while sizes[-1] > 1:
+            sizes.append(-(-sizes[-1] // RATIO))
+        self.points = [self.x, *(self.x[drawn[:n]] for n in sizes[1:])]
+        self.layers = [np.zeros(n, np.int64) for n in sizes[:-1]]
+        self.begins = [np.array([0, n]) for n in sizes[:-1]]
+        for layer in range(len(sizes) - 2, -1, -1):
+            at = self.closest(self.points[layer], 1, layer + 1)[0][:, 0]
+            self.layers[layer] = np.argsort(at, kind="stable")
+            self.begins[layer] = np.searchsorted(at[self.layers[layer]], np.arange(sizes[layer + 1] + 1))
+
+    def _best(self, sims: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and values of the highest of each row, best first."""
+        if width == 1:
+            at = sims.argmax(axis=1)[:, None]
+            return at, np.take_along_axis(sims, at, 1)
+        n, k = sims.shape
+        if k >= 16 * width:  # folded on one another, ``width`` columns reach a bound, so at least as many do here
+            fold = k // 8
+            folded = sims[:, : 8 * fold].reshape(n, 8, fold).max(axis=1)
+            row, col = np.nonzero(sims >= np.partition(folded, fold - width, axis=1)[:, fold - width, None])
+            place = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+            at = np.zeros((n, place.max(initial=0) + 1), np.int64)
+            found = np.full(at.shape, -np.inf, np.float32)
+            at[row, place] = col
+            found[row, place] = sims[row, col]
+        else:
+            cut = max(0, k - width)
+            at = np.argpartition(sims, cut, axis=1)[:, cut:]
+            found = np.take_along_axis(sims, at, 1)
+        order = np.argsort(-found, axis=1, kind="stable")[:, :width]
+        return np.take_along_axis(at, order, 1), np.take_along_axis(found, order, 1)
+
+    def closest(self, q: np.ndarray, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members of a layer and similarities, best first; missing members are -1."""
+        ids = np.full((len(q), width), -1, np.int64)
+        sims = np.full((len(q), width), -np.inf, np.float32)
+        points = self.points[layer]
+        flat = layer == len(self.points) - 1 or (layer > 0 and len(points) <= FLAT)
+        rows = max(1, _TILE // (len(points) if flat else max(width, BUILD_BEAM) * RATIO))
+        for b in range(0, len(q), rows):
+            some = q[b : b + rows]
+            at, found = self._best(some @ points.T, width) if flat else self._below(some, width, layer)
+            ids[b : b + rows, : at.shape[1]] = at
+            sims[b : b + rows, : at.shape[1]] = found
+        return ids, sims
+
+    def _below(self, q: np.ndarray, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+        """The closest members in the cells of the closest nodes of the layer above."""
+        up = self.closest(q, max(width, BUILD_BEAM), layer + 1)[0]
+        sizes = np.where(up >= 0, np.diff(self.begins[layer])[up], 0)
+        ends = np.cumsum(sizes, axis=1)
+        ids = np.full((len(q), max(1, int(ends[:, -1].max(initial=0)))), -1, np.int64)
+        sims = np.full(ids.shape, -np.inf, np.float32)
+        for rows, slots, members in self.cells(up, layer):
+            at = (ends - sizes)[rows, slots][:, None] + np.arange(len(members))
+            ids[rows[:, None], at] = members
+            sims[rows[:, None], at] = q[rows] @ self.points[layer][members].T
+        at, found = self._best(sims, width)
+        return np.take_along_axis(ids, at, 1), found
+
+    def cells(self, nodes: np.ndarray, layer: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Cells of the layer that ``nodes`` open: the rows that open it, at which of their places, its members."""
+        begins = self.begins[layer]
+        narrow = nodes.ravel().astype(np.int16 if len(begins) < 1 << 15 else np.int32)
+        order = np.argsort(narrow, kind="stable")
+        bounds = np.searchsorted(narrow[order], np.arange(len(begins), dtype=narrow.dtype))
+        for node in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(begins) > 0)).tolist():
+            members = self.layers[layer][begins[node] : begins[node + 1]]
+            opened = order[bounds[node] : bounds[node + 1]]
+            step = max(1, _TILE // len(members))
+            for b in range(0, len(opened), step):
+                yield *np.divmod(opened[b : b + step], nodes.shape[1]), members
 
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.beam(q, self._descend(q, 0), width)
+        return self.closest(q, width, 0)
+
+
+class Block:
+    """Queries: unit vectors, and which member each is (-1: none)."""
+
+    def __init__(self, exact: np.ndarray, own: np.ndarray) -> None:
+        self.exact, self.own = exact, own
+
+    @cached_property
+    def q(self) -> np.ndarray:
+        return self.exact.astype(np.float32)
+
+    def some(self, n: int) -> Block:
+        at = np.unique(np.linspace(0, len(self.own) - 1, min(n, len(self.own))).astype(np.int64))
+        return Block(self.exact[at], self.own[at])
 
 
 class Shard:
@@ -200,55 +166,113 @@ class Shard:
     def __init__(self, keys: np.ndarray, copies: np.ndarray, vectors: np.ndarray, cosine: float, beam: int) -> None:
         self.keys, self.copies, self.cosine, self.beam = keys, copies, cosine, beam
         self.graph = Graph(unit(vectors))
+        self.cells = len(self.graph.begins[0]) - 1 if self.graph.layers else 0
         self.links = np.zeros(len(keys), np.int64)
         self.parent = np.arange(len(keys))
-        self.exhaustive = False
-
-    def _scan(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (query, member) near enough, by comparing with every member in tiles."""
-        out = []
-        for b in range(0, len(self.keys), 1 << 14):
-            row, col = np.nonzero(q @ self.graph.x[b : b + (1 << 14)].T >= self.cosine - _MARGIN)
-            out.append((row, col + b))
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-
-    def _search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, member) from the graph; beams that are linked to their end are widened."""
-        empty = np.zeros(0, np.int64)
-        rows, members = [empty], [empty]
-        left, beam, scan = np.arange(len(q)), self.beam, self.exhaustive
-        while len(left) and not scan:
-            ids, sims = self.graph.search(q[left], beam)
-            full = sims[:, -1] >= self.cosine - _MARGIN
-            row, col = np.nonzero((sims >= self.cosine - _MARGIN) & ~full[:, None])
-            rows.append(left[row])
-            members.append(ids[row, col])
-            left, beam = left[full], beam * 4
-            scan = beam * 16 >= len(self.keys)
-        if len(left):
-            row, col = self._scan(q[left])
-            rows.append(left[row])
-            members.append(col)
-        return np.concatenate(rows), np.concatenate(members)
-
-    def pairs(self, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Verified pairs (query, member) of a block of unit vectors."""
-        q = exact.astype(np.float32)
-        audit = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(np.int64))
-        row, col = self._scan(q[audit])
-        wanted = audit[row] * len(self.keys) + col
-        while True:
-            rows, members = self._search(q)
-            held = int(np.isin(wanted, rows * len(self.keys) + members).sum())
-            if self.exhaustive or held >= RECALL * len(wanted):
+        self.exhaustive = self._all(beam)
+        self.audited = np.zeros(4)
+        self._audit(Block(self.graph.exact, np.arange(len(keys))), FITTED)
+
+    def _all(self, beam: int) -> bool:
+        """Is so wide a beam a comparison with all members?"""
+        return beam * 4 >= self.cells
+
+    def _near(self, block: Block, rows: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Which of ``rows`` and ``members`` link, as a table; no member links with itself."""
+        sims = block.q[rows] @ self.graph.x[members].T
+        near = sims >= self.cosine - _MARGIN
+        if near.any():
+            near &= block.own[rows][:, None] != members
+            unsure = np.flatnonzero(near & (sims < self.cosine + _MARGIN))
+            for b in range(0, len(unsure), 1 << 15):
+                at = unsure[b : b + (1 << 15)]
+                row, col = np.divmod(at, len(members))
+                two = block.exact[rows[row]], self.graph.exact[members[col]]
+                near.ravel()[at] = np.einsum("ij,ij->i", *two) >= self.cosine
+        return near
+
+    def _scan(self, block: Block) -> Iterator[tuple[np.ndarray, ...]]:
+        """Tables of all queries and all members."""
+        for a in range(0, len(block.q), BLOCK // 8):
+            rows = np.arange(a, min(a + BLOCK // 8, len(block.q)))
+            step = _TILE // len(rows)
+            for b in range(0, len(self.keys), step):
+                members = np.arange(b, min(b + step, len(self.keys)))
+                yield rows, members, self._near(block, rows, members)
+
+    def _search(self, block: Block) -> Iterator[tuple[np.ndarray, ...]]:
+        """Tables (queries, members, do they link) with something in them, every pair in one of them at most.
+
+        A beam whose farther quarter of cells still has links is widened: the cells not opened yet follow.
+        """
+        if self.exhaustive:
+            yield from (t for t in self._scan(block) if t[2].any())
+            return
+        step = max(1, _FLAGS // self.beam)
+        for b in range(0, len(block.q), step):
+            rows = np.arange(b, min(b + step, len(block.q)))
+            nodes = self.graph.closest(block.q[rows], self.beam, 1)[0]
+            wider = np.zeros(len(rows), bool)
+            yield from self._open(block, rows, nodes, wider, self.beam - -(-self.beam // 4))
+            left = np.flatnonzero(wider)
+            few = max(1, _FLAGS // self.cells)
+            for c in range(0, len(left), few):
+                yield from self._widen(block, rows[left[c : c + few]], nodes[left[c : c + few]])
+
+    def _open(
+        self, block: Block, left: np.ndarray, nodes: np.ndarray, wider: np.ndarray, far: int
+    ) -> Iterator[tuple[np.ndarray, ...]]:
+        """Tables of the queries ``left`` with the cells of their nodes; ``wider`` marks links from place ``far`` on."""
+        for rows, slots, members in self.graph.cells(nodes):
+            near = self._near(block, left[rows], members)
+            if near.any():
+                wider[rows] |= (slots >= far) & near.any(axis=1)
+                yield left[rows], members, near
+
+    def _widen(self, block: Block, left: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        opened = np.zeros((len(left), self.cells), bool)
+        beam = self.beam
+        while len(left):
+            row, col = np.nonzero(nodes >= 0)
+            opened[row, nodes[row, col]] = True
+            last, beam = beam, beam * 4
+            if self._all(beam):
+                nodes = np.broadcast_to(np.arange(self.cells), opened.shape)
+            else:
+                nodes = self.graph.closest(block.q[left], beam, 1)[0]
+            fresh = (nodes >= 0) & ~np.take_along_axis(opened, np.maximum(nodes, 0), 1)
+            wider = np.zeros(len(left), bool)
+            yield from self._open(block, left, np.where(fresh, nodes, -1), wider, beam - (beam - last) // 4)
+            if self._all(beam):
                 break
+            left, nodes, opened = left[wider], nodes[wider], opened[wider]
+
+    def _count(self, tables: Iterator[tuple[np.ndarray, ...]], n: int) -> np.ndarray:
+        counts = np.zeros(n, np.int64)
+        for rows, _, near in tables:
+            counts[rows] += near.sum(axis=1)
+        return counts
+
+    def _audit(self, block: Block, n: int) -> None:
+        """Compare some queries with all members; double the beam until it finds enough of these links, and of
+        those of the mean query, over all queries since the beam was last widened."""
+        if self.exhaustive:
+            return
+        some = block.some(n)
+        wanted = self._count(self._scan(some), len(some.q))
+        any_ = wanted > 0
+        while True:
+            held = self._count(self._search(some), len(some.q))
+            share = (held[any_] / wanted[any_]).sum()
+            self.audited += wanted.sum(), held.sum(), any_.sum(), share
+            want, have, asked, shares = self.audited
+            if have >= RECALL * want and shares >= RECALL * asked:
+                return
             self.beam *= 2
-            self.exhaustive = self.beam * 16 >= len(self.keys)
-        close = np.zeros(len(rows), bool)
-        for b in range(0, len(rows), 1 << 15):
-            two = exact[rows[b : b + (1 << 15)]], self.graph.exact[members[b : b + (1 << 15)]]
-            close[b : b + (1 << 15)] = np.einsum("ij,ij->i", *two) >= self.cosine
-        return rows[close], members[close]
+            self.audited[:] = 0
+            self.exhaustive = self._all(self.beam)
+            if self.exhaustive:
+                return
 
     def _top(self, at: np.ndarray) -> np.ndarray:
         while True:
@@ -266,24 +290,35 @@ class Shard:
             np.minimum.at(self.parent, high, low)
             a, b = low, high
 
+    def _meet(self, tables: Iterator[tuple[np.ndarray, ...]], one: np.ndarray, copies: np.ndarray | None) -> np.ndarray:
+        """Links of each query. ``one`` is a member of each query's set, -1 if there is none yet; members linked
+        with a query are united with it, and ``copies`` of the query, if given, are added to their links."""
+        counts = np.zeros(len(one), np.int64)
+        for rows, members, near in tables:
+            some = near.any(axis=1)
+            rows, near = rows[some], near[some]
+            counts[rows] += near @ self.copies[members]
+            if copies is not None:
+                self.links[members] += copies[rows] @ near
+            new = one[rows] < 0
+            one[rows[new]] = members[near[new].argmax(axis=1)]
+            row, col = np.nonzero(near & (self._top(one[rows])[:, None] != self._top(members)))
+            self._unite(one[rows[row]], members[col])
+        return counts
+
     def ask_members(self, begin: int, end: int) -> None:
-        rows, members = self.pairs(self.graph.exact[begin:end])
-        rows = rows + begin
-        different = rows != members
-        rows, members = rows[different], members[different]
-        np.add.at(self.links, rows, self.copies[members])
-        self._unite(rows, members)
+        exact = self.graph.exact[begin:end]
+        block = Block(exact, np.arange(begin, begin + len(exact)))
+        self._audit(block, AUDITED)
+        self.links[block.own] += self._meet(self._search(block), block.own.copy(), None)
 
     def ask(self, keys: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, ...]:
         """Columns u, v, links of a block of queries: each linked one with one member."""
-        rows, members = self.pairs(unit(vectors))
-        np.add.at(self.links, members, copies[rows])
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, rows, self.copies[members])
-        linked, first = np.unique(rows, return_index=True)
-        one = np.zeros(len(keys), np.int64)
-        one[linked] = members[first]
-        self._unite(one[rows], members)
+        block = Block(unit(vectors), np.full(len(keys), -1))
+        self._audit(block, AUDITED)
+        one = np.full(len(keys), -1, np.int64)
+        counts = self._meet(self._search(block), one, copies)
+        linked = np.flatnonzero(one >= 0)
         return keys[linked], self.keys[one[linked]], counts[linked]
 
     def rest(self) -> tuple[np.ndarray, ...]:
@@ -390,7 +425,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, shards: int | No
     best = attach(own, firsts, ["root"], "members")
     best = best.select("key", "component_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     by_vector = best.join(found.select("key", "embedding"), "key").drop("key")
-    told = attach(rows, by_vector, ["embedding"], "copies")
+    # Sorted by a number first: vectors are only compared where their hashes agree.
+    mark = F.xxhash64("embedding")
+    told = attach(rows.withColumn("mark", mark), by_vector.withColumn("mark", mark), ["mark", "embedding"], "copies")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return told.select(
         "vec_id",

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -115,3 +117,96 @@ def test_edges(spark):
     assert got(vectors.near_vectors(made(spark, [(None, [1.0]), (None, [2.0])]))) == [(None, 1, None, True)] * 2
     doubles = spark.createDataFrame([(1, [1.0, 1e-9]), (2, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
     assert got(vectors.near_vectors(doubles)) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def grouped(seed, n, groups, noise, d=64):
+    """Loose vectors and groups of near copies."""
+    rng = np.random.default_rng(seed)
+    x = [rng.normal(size=(n - sum(groups), d))]
+    x += [rng.normal(size=(1, d)) + rng.normal(size=(size, d)) * noise for size in groups]
+    return np.float32(rng.permutation(np.concatenate(x)))
+
+
+def asked(shard, block):
+    for b in range(0, len(shard.keys), block):
+        shard.ask_members(b, b + block)
+    return shard
+
+
+def test_work_of_a_shard():
+    """Building a graph and asking it takes less time than to compare all pairs a few times."""
+    x = grouped(11, 20_000, [100] * 100, 0.1)
+    u = vectors.unit(x).astype(np.float32)
+    before = time.process_time()
+    want = np.concatenate([(u[b : b + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for b in range(0, len(u), 1000)])
+    all_pairs, before = time.process_time() - before, time.process_time()
+    shard = asked(vectors.Shard(np.arange(len(x)), np.ones(len(x), np.int64), x, 0.9, vectors.BEAM), vectors.BLOCK)
+    assert time.process_time() - before < 3 * all_pairs
+    assert abs(shard.links.sum() - want.sum()) <= 0.001 * want.sum()
+
+
+@pytest.mark.parametrize("marks", [None, 1000])
+def test_group_wider_than_the_beam(monkeypatch, marks):
+    """A group over most nodes: beams go on until they have it all, and no pair counts twice."""
+    if marks:
+        monkeypatch.setattr(vectors, "_FLAGS", marks)
+        monkeypatch.setattr(vectors, "_TILE", 4 * marks)
+    x = grouped(12, 6000, [3000, 2, 2], 0.02)
+    copies = np.random.default_rng(1).integers(1, 4, 6000)
+    shard = asked(vectors.Shard(np.arange(6000), copies, x, 0.9, 4), 700)
+    u = vectors.unit(x)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert not shard.exhaustive
+    assert (shard.links == near @ copies).all()
+    assert len(np.unique(shard._top(np.flatnonzero(near.sum(axis=1) == 2999)))) == 1
+
+
+def test_queries_of_another_shard():
+    """Links of queries and members, by cells and by a comparison with all."""
+    x = grouped(13, 4000, [40] * 20, 0.05)
+    want = vectors.unit(x[:1000]) @ vectors.unit(x[1000:]).T >= 0.9
+    copies = np.random.default_rng(2).integers(1, 4, 4000)
+    for beam in (6, 4000):
+        shard = vectors.Shard(np.arange(1000, 4000), copies[1000:], x[1000:], 0.9, beam)
+        u, v, links = shard.ask(np.arange(1000), copies[:1000], x[:1000])
+        assert shard.exhaustive == (beam == 4000)
+        assert (u == np.flatnonzero(want.any(axis=1))).all() and want[u, v - 1000].all()
+        assert (links == (want @ copies[1000:])[u]).all()
+        assert (shard.links == copies[:1000] @ want).all()
+
+
+def test_audit_leaves_out_the_member_itself():
+    """Members always find themselves; that must not hide the links that a beam misses."""
+    rng = np.random.default_rng(14)
+    x = vectors.unit(rng.normal(size=(3000, 64)))
+    away = rng.normal(size=x.shape)
+    away = vectors.unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    x = np.float32(rng.permutation(np.concatenate([x, 0.91 * x + np.sqrt(1 - 0.91**2) * away])))
+    shard = asked(vectors.Shard(np.arange(6000), np.ones(6000, np.int64), x, 0.9, 1), 2000)
+    u = vectors.unit(x)
+    assert shard.links.sum() >= 0.98 * ((u @ u.T >= 0.9).sum() - 6000)
+
+
+def test_upper_layers(monkeypatch):
+    """With layers too large to be compared as a whole, beams go through all of them."""
+    monkeypatch.setattr(vectors, "FLAT", 50)
+    monkeypatch.setattr(vectors, "RATIO", 10)
+    x = grouped(15, 5000, [], 1)
+    graph = vectors.Graph(vectors.unit(x))
+    assert len(graph.layers) == 4 and all((np.sort(a) == np.arange(len(a))).all() for a in graph.layers)
+    ids, sims = graph.search(graph.x[:500], 20)
+    assert np.mean(ids[:, 0] == np.arange(500)) > 0.97 and (np.diff(sims, axis=1) <= 0).all()
+    near = graph.closest(graph.x[:500], 48, 1)[0]
+    truth = np.argsort(-(graph.x[:500] @ graph.points[1].T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(near, truth)]) > 0.95
+
+
+def test_best_columns():
+    rng = np.random.default_rng(16)
+    graph = vectors.Graph(np.ones((1, 1)))
+    for k, width in [(1000, 5), (1003, 5), (100, 48), (48, 48), (30, 48), (1000, 1)]:
+        sims = np.round(rng.normal(size=(40, k)), 1).astype(np.float32)  # many ties
+        at, found = graph._best(sims, width)
+        assert (found == -np.sort(-sims, axis=1)[:, :width]).all() and (found == np.take_along_axis(sims, at, 1)).all()
+        assert all(len(set(row)) == min(k, width) for row in at)
